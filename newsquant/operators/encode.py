@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsquant.functions.events import one_hot_index
@@ -88,11 +88,13 @@ def slot_stats(df: DataFrame, lay: Layout) -> DataFrame:
     Zeros are never materialised: sums over the non-zero cells and the row
     count are enough, and partial sums combine map-side over `width` keys.
     """
-    n = df.agg(F.count("*").alias("n")).scalar()
-    cells = df.select(F.explode(slot_pairs(lay)).alias("p")).select("p.slot", "p.value")
+    row = F.array(F.struct(F.lit(-1).alias("slot"), F.lit(1.0).alias("value")))  # slot -1 counts the rows
+    cells = df.select(F.explode(F.concat(row, slot_pairs(lay))).alias("p")).select("p.slot", "p.value")
     seen = cells.groupBy("slot").agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
-    every = df.sparkSession.range(lay.width).select(F.col("id").cast("int").alias("slot"))
-    full = every.join(seen, "slot", "left").fillna(0.0, ["s1", "s2"]).withColumn("n", n)
+    every = df.sparkSession.range(-1, lay.width).select(F.col("id").cast("int").alias("slot"))
+    full = every.join(seen, "slot", "left").fillna(0.0, ["s1", "s2"])
+    n = F.max(F.when(F.col("slot") == -1, F.col("s1"))).over(Window.partitionBy())  # `width` + 1 rows
+    full = full.withColumn("n", n).filter(F.col("slot") >= 0)
     mean = F.col("s1") / F.col("n")
     var = F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))
     return full.select("slot", mean.alias("mean"), F.when(var > 1e-24, F.sqrt(var)).otherwise(1.0).alias("std"))

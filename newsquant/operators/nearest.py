@@ -159,18 +159,31 @@ def _with_result(df: DataFrame, result: Column) -> DataFrame:
     return df.withColumn("_near", result).select(*df.columns, "_near.cluster_id", "_near.dist")
 
 
-def event_centroids(cleaned: DataFrame, lay: Layout, stats: DataFrame, seeds: DataFrame,
-                    id_col: str = "event_id") -> DataFrame:
+def freeze(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A small model table computed once and kept as local data; larger ones are refused."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"model table has more than {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def event_centroids(seeds: DataFrame, lay: Layout, stats: DataFrame) -> DataFrame:
     """Standardised vectors of seed events as centroids `(cluster_id, centroid)`.
 
-    `seeds` is `(i, id)`; K x width cells, the size of any model.
+    `seeds` holds K events with their topic columns and a number `i`; like
+    `stats` it is model-sized, so the K x width table is built on the driver.
     """
-    from newsquant.operators.encode import slot_pairs
-
-    picked = cleaned.join(seeds, id_col).select("i", F.explode(slot_pairs(lay)).alias("p")).select("i", "p.*")
-    every = seeds.select("i").join(stats, F.lit(True))  # K x width: the model itself
-    full = every.join(picked, ["i", "slot"], "left").withColumn(
-        "z", (F.coalesce("value", F.lit(0.0)) - F.col("mean")) / F.col("std")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("slot", "z")))
-    return full.groupBy(F.col("i").alias("cluster_id")).agg(F.transform(ordered, lambda p: p["z"]).alias("centroid"))
+    stat = sorted(stats.collect(), key=lambda r: r["slot"])
+    mean, std = np.array([r["mean"] for r in stat]), np.array([r["std"] for r in stat])
+    out = []
+    topics = [r.name for r, _ in lay.topics]
+    for row in model_rows(seeds.select("i", *topics), lay.width, "i"):
+        x = np.zeros(lay.width)
+        for r, at in lay.topics:
+            v = row[r.name]
+            if r.kind == "numeric":
+                x[at] = v or 0.0
+            elif v is not None and 1 <= v <= r.size:
+                x[at + v - 1] = 1.0
+        out.append((row["i"], ((x - mean) / std).tolist()))
+    return seeds.sparkSession.createDataFrame(out, "cluster_id int, centroid array<double>")

@@ -79,14 +79,15 @@ def value_prefix(counts: DataFrame, by: Sequence[str], value: str, sums: Sequenc
     all values differ; the cut points affect speed only.
     """
     by, sums = list(by), list(sums)
+    if not by:
+        return value_prefix(counts.withColumn("_all", F.lit(0)), ["_all"], value, sums, buckets).drop("_all")
     cuts = F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000)
     bounds = counts.groupBy(*by).agg(cuts.alias("_cuts"))
-    joined = counts.join(bounds, by) if by else counts.withColumn("_cuts", bounds.select("_cuts").scalar())
-    placed = joined.withColumn(
+    placed = counts.join(bounds, by).withColumn(
         "_bucket", F.size(F.filter("_cuts", lambda b: b < F.col(value).cast("double")))
     ).drop("_cuts")
     totals = placed.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    group = Window.partitionBy(*by) if by else Window.partitionBy()
+    group = Window.partitionBy(*by)
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         *by, "_bucket",

@@ -36,16 +36,17 @@ def cleaned_news(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return clean.clean_events(raw, codes, countries, keep=("event_id", "order_no", "sqldate", "pub_day", *extra))
 
 
-def news_model(spark: SparkSession, sf_dir: str, cleaned: DataFrame, k: int = NEWS_K) -> tuple[DataFrame, DataFrame]:
-    """Slot statistics and k seed centroids spread over the key range."""
-    stats = encode.slot_stats(cleaned, NEWS_LAYOUT)
-    seeds = uniform_keys(cleaned, k, "order_no", "event_id")
-    return stats, nearest.event_centroids(cleaned, NEWS_LAYOUT, stats, seeds)
+def news_model(cleaned: DataFrame, k: int = NEWS_K) -> tuple[DataFrame, DataFrame]:
+    """Slot statistics and k seed centroids spread over the key range, both as small local tables."""
+    stats = nearest.freeze(encode.slot_stats(cleaned, NEWS_LAYOUT))
+    topics = [r.name for r, _ in NEWS_LAYOUT.topics]
+    seeds = uniform_keys(cleaned, k, "order_no", "event_id", topics)
+    return stats, nearest.event_centroids(seeds, NEWS_LAYOUT, stats)
 
 
-def assigned_news(spark: SparkSession, sf_dir: str, k: int = NEWS_K) -> DataFrame:
-    cleaned = cleaned_news(spark, sf_dir)
-    stats, centroids = news_model(spark, sf_dir, cleaned, k)
+def assigned_news(spark: SparkSession, sf_dir: str, k: int = NEWS_K, *extra: str) -> DataFrame:
+    cleaned = cleaned_news(spark, sf_dir, *extra)
+    stats, centroids = news_model(cleaned, k)
     return nearest.assign_expanded(cleaned, NEWS_LAYOUT, stats, centroids)
 
 

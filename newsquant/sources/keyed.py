@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ def scan_range(df: DataFrame, lo=None, hi=None, key: str = "key", as_text: bool
     return df
 
 
-def uniform_keys(df: DataFrame, k: int, order: str, id_col: str) -> DataFrame:
-    """K seeds spread evenly over the key range: `(i, id_col)`.
+def uniform_keys(df: DataFrame, k: int, order: str, id_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """K seeds spread evenly over the key range: `(i, id_col, carry...)`.
 
     Target i is `lo + i * floor((hi - lo) / k)`; its seed is the row with the
     smallest `(order, id)` at or after the target. Every row belongs to the
@@ -65,10 +67,10 @@ def uniform_keys(df: DataFrame, k: int, order: str, id_col: str) -> DataFrame:
     stride = F.least(F.floor((F.col(order) - lo) / step), F.lit(k - 1)).cast("int")
     firsts = (
         df.filter(F.col(order).isNotNull())
-        .select(stride.alias("i"), F.struct(F.col(order).alias("o"), F.col(id_col).alias("id")).alias("r"))
-        .groupBy("i").agg(F.min("r").alias("r"))
+        .select(stride.alias("i"), F.struct(order, id_col).alias("_r"), id_col, *carry)
+        .groupBy("i").agg(*[F.min_by(c, "_r").alias(c) for c in (id_col, *carry)])
     )
     # At most k rows from here on: each stride's first row also serves the empty strides before it.
     previous = F.lag("i", 1, -1).over(Window.orderBy("i"))
     spread = firsts.withColumn("previous", previous)
-    return spread.select(F.explode(F.sequence(F.col("previous") + 1, F.col("i"))).alias("i"), F.col("r.id").alias(id_col))
+    return spread.select(F.explode(F.sequence(F.col("previous") + 1, F.col("i"))).alias("i"), id_col, *carry)

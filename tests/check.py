@@ -16,7 +16,8 @@ from tests.oracle import compare, connect  # noqa: E402
 def main(sf: str, names: list[str]) -> int:
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
