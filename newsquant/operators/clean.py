@@ -154,11 +154,11 @@ def export_zeros(df: DataFrame) -> DataFrame:
     return df.fillna(0, subset=codes)
 
 
-def mini_event(df: DataFrame) -> DataFrame:
+def mini_event(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Compact event for medoid clustering: id plus 14 fields."""
     url = "url" if "url" in df.columns else F.lit(None).cast("string")
     return df.select(
-        "event_id", fn.days_since_epoch("sqldate").alias("day_no"), "event_code",
+        *keep, "event_id", fn.days_since_epoch("sqldate").alias("day_no"), "event_code",
         F.col("quad_class").cast("string").alias("quad_class"), "goldstein", "actor1_name", "actor2_name",
         "is_root", "num_mentions", "num_sources", "num_articles", "avg_tone", "actor1_geo", "actor2_geo",
         fn.url_domain(url).alias("domain"),

@@ -161,8 +161,8 @@ def _with_result(df: DataFrame, result: Column) -> DataFrame:
 
 def freeze(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """A small model table computed once and kept as local data; larger ones are refused."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         raise ValueError(f"model table has more than {max_rows} rows")
     return df.sparkSession.createDataFrame(rows, df.schema)
 

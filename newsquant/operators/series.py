@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def by_day(key: str = "symbol", day: str = "day"):
@@ -78,7 +79,7 @@ def ema(df: DataFrame, n: int = 14, backfill: bool = True, value: str = "price",
     the difference of the logs, 0 on the first row. The recursion runs as a
     fold per symbol inside Arrow groups of one series each.
     """
-    schema = df.schema.add("ema", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("ema", T.DoubleType())])
     names = schema.names
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,6 +1,6 @@
 """The query catalogue: every query beside the SQL that checks it."""
 
 from newsquant.plans.catalog.registry import ORACLES, QUERIES
-from newsquant.plans.catalog import news as _news  # noqa: F401
+from newsquant.plans.catalog import explore, medoids, news, prices, samples, text, trading  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

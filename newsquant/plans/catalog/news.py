@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from newsquant.operators import clean, encode, nearest, summary
+from newsquant.functions import events as fn
+from newsquant.operators import clean, clusters, encode, nearest, summary
 from newsquant.plans import pipelines as pl
 from newsquant.plans.catalog.registry import query
-from newsquant.sources import tables
+from newsquant.schema import STOP_WORDS
+from newsquant.sources import events as ev
+from newsquant.sources import keyed, tables
 
 CLEAN_SQL = """
 codes AS (SELECT code, CAST(row_number() OVER (ORDER BY code) AS INT) AS idx
@@ -137,3 +141,265 @@ def joined_features(spark, sf_dir):
     df = pl.joined_features(spark, sf_dir)
     df = rounded(df, ["ma5", "ma10", "ma30"])
     return rounded(df, [c for c in df.columns if c.startswith(("share_", "num_mentions_"))], 8)
+
+
+@query("drop_report", "news", CLEAN_SQL, """
+SELECT (SELECT COUNT(*) FROM news) AS total, (SELECT COUNT(*) FROM cleaned) AS kept,
+  (SELECT COUNT(*) FROM news) - (SELECT COUNT(*) FROM cleaned) AS dropped""")
+def drop_report(spark, sf_dir):
+    return clean.drop_report(tables.news(spark, sf_dir, *clean.REQUIRED), clean.is_complete())
+
+
+@query("exporter_filter", "news", """
+exporters AS (SELECT * FROM (VALUES ('BUILDING', 0, 4), ('MACHINERY', 5, 9)) v(symbol, lo, hi)
+  UNION ALL SELECT DISTINCT c_mktsegment, 0, 24 FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')),
+members AS (SELECT DISTINCT e.symbol, CONCAT('N', CAST(n_nationkey AS VARCHAR)) AS country
+            FROM exporters e JOIN nation ON n_nationkey BETWEEN e.lo AND e.hi)""", """
+SELECT s.symbol, COUNT(*) AS n_events FROM news n CROSS JOIN (SELECT DISTINCT symbol FROM members) s
+WHERE EXISTS (SELECT 1 FROM members m WHERE m.symbol = s.symbol AND m.country IN (n.actor1_country, n.actor2_country))
+GROUP BY 1""")
+def exporter_filter(spark, sf_dir):
+    nation = tables.table(spark, sf_dir, "nation")
+    symbols = tables.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("symbol")).distinct()
+    lo = F.when(F.col("symbol") == "MACHINERY", 5).otherwise(0)
+    hi = F.when(F.col("symbol") == "BUILDING", 4).when(F.col("symbol") == "MACHINERY", 9).otherwise(24)
+    keys = symbols.select("symbol", F.explode(F.sequence(lo, hi)).alias("n_nationkey"))
+    registry = keys.join(nation, "n_nationkey").select(
+        "symbol", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("country")
+    )
+    return clean.exporter_counts(tables.news(spark, sf_dir, "actor1_country", "actor2_country"), registry)
+
+
+_STOPS_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query("clean_names", "news", "", f"""
+SELECT event_id, array_to_string(list_filter(string_split_regex(trim(lower(actor1_name)), '\\s+'),
+  lambda w: w <> '' AND NOT list_contains([{_STOPS_SQL}], w)), ' ') AS actor1_name FROM news""")
+def clean_names(spark, sf_dir):
+    return tables.news(spark, sf_dir, "event_id", "actor1_name").select(
+        "event_id", fn.clean_name("actor1_name").alias("actor1_name")
+    )
+
+
+_FIELDS = ["event_root_code", "action_lat", "action_long", "actor1_geo_type", "actor2_geo_type", "action_geo_type",
+           "actor1_type2", "actor1_type3", "actor2_type1"]
+
+
+@query("epoch_projection", "news", "", f"""
+SELECT * FROM (SELECT event_id, CAST(sqldate - DATE '1970-01-01' AS INT) AS day_no,
+  CAST({' + '.join(f"CASE WHEN COALESCE(CAST({c} AS VARCHAR), '') = '' THEN 1 ELSE 0 END" for c in _FIELDS)} AS INT) AS n_empty,
+  event_code, quad_class, goldstein, actor2_name, num_mentions, num_sources, num_articles, avg_tone FROM news) q
+WHERE n_empty <= 5""")
+def epoch_projection(spark, sf_dir):
+    df = tables.news(spark, sf_dir, "event_id", "sqldate", "event_code", "quad_class", "goldstein", "actor2_name",
+                     "num_mentions", "num_sources", "num_articles", "avg_tone", *_FIELDS)
+    return df.filter(fn.well_formed(_FIELDS, 5)).select(
+        "event_id", fn.days_since_epoch("sqldate").alias("day_no"), fn.empty_fields(_FIELDS).alias("n_empty"),
+        "event_code", "quad_class", "goldstein", "actor2_name", "num_mentions", "num_sources", "num_articles", "avg_tone",
+    )
+
+
+DOMAIN_SQL = """
+hosts AS (SELECT page_id, url, string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)), '.') AS h
+          FROM pages),
+domains AS (SELECT page_id, url, CASE
+  WHEN len(h) >= 3 AND length(h[-1]) = 2 AND h[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN h[-3]
+  WHEN len(h) >= 2 THEN h[-2] ELSE h[-1] END AS domain FROM hosts)"""
+
+
+@query("url_domains", "news", DOMAIN_SQL, """
+SELECT domain, COUNT(*) AS n FROM news JOIN domains USING (page_id) GROUP BY 1""")
+def url_domains(spark, sf_dir):
+    per_page = tables.news(spark, sf_dir, "page_id").groupBy("page_id").agg(F.count("*").alias("n"))
+    pages = tables.table(spark, sf_dir, "pages").select("page_id", fn.url_domain("url").alias("domain"))
+    return clean.attach_raw(per_page, pages, "page_id").groupBy("domain").agg(F.sum("n").alias("n"))
+
+
+def _slot_sql() -> str:
+    parts = []
+    for r, at in pl.NEWS_LAYOUT.topics:
+        if r.kind == "categorical":
+            parts.append(f"SELECT event_id, CAST({at} + {r.name} - 1 AS INT) AS slot, 1.0::DOUBLE AS value FROM cleaned "
+                         f"WHERE {r.name} BETWEEN 1 AND {r.size}")
+        else:
+            parts.append(f"SELECT event_id, {at}, CAST({r.name} AS DOUBLE) FROM cleaned WHERE {r.name} <> 0")
+    for i, m in enumerate(MEASURES):
+        parts.append(f"SELECT event_id, {pl.NEWS_LAYOUT.width + i}, CAST({m} AS DOUBLE) FROM cleaned WHERE {m} <> 0")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("expanded_slots", "news", CLEAN_SQL, _slot_sql())
+def expanded_slots(spark, sf_dir):
+    return encode.expand(pl.cleaned_news(spark, sf_dir), pl.NEWS_LAYOUT)
+
+
+@query("slot_stats", "news", CLEAN_SQL + ",\nslots AS (" + _slot_sql() + ")", f"""
+SELECT CAST(t.slot AS INT) AS slot, ROUND(m, 6) AS mean,
+  ROUND(CASE WHEN v > 1e-24 THEN SQRT(v) ELSE 1 END, 6) AS std
+FROM (SELECT t.slot, COALESCE(SUM(value), 0) / (SELECT COUNT(*) FROM cleaned) AS m,
+  COALESCE(SUM(value * value), 0) / (SELECT COUNT(*) FROM cleaned)
+    - POWER(COALESCE(SUM(value), 0) / (SELECT COUNT(*) FROM cleaned), 2) AS v
+  FROM range(0, {pl.NEWS_LAYOUT.width}) t(slot) LEFT JOIN slots s ON s.slot = t.slot GROUP BY 1) t""")
+def slot_stats(spark, sf_dir):
+    return rounded(encode.slot_stats(pl.cleaned_news(spark, sf_dir), pl.NEWS_LAYOUT), ["mean", "std"])
+
+
+@query("column_stats", "news", CLEAN_SQL, "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", ROUND(AVG({c}), 6) AS mean, ROUND(CASE WHEN STDDEV_POP({c}) = 0 THEN 1 ELSE STDDEV_POP({c}) END, 6) AS std_pop FROM cleaned"
+    for c in MEASURES))
+def column_stats(spark, sf_dir):
+    stats = encode.column_stats(pl.cleaned_news(spark, sf_dir), MEASURES)
+    return rounded(stats, ["mean", "std"]).withColumnRenamed("std", "std_pop")
+
+
+@query("standardised", "news", CLEAN_SQL, f"""
+SELECT event_id, {', '.join(f'ROUND(({c} - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER (), 6) AS {c}' for c in MEASURES)} FROM cleaned""")
+def standardised(spark, sf_dir):
+    df = pl.cleaned_news(spark, sf_dir)
+    return rounded(encode.standardise(df, encode.column_stats(df, MEASURES), MEASURES), MEASURES).select("event_id", *MEASURES)
+
+
+@query("day_range", "news", "", """
+SELECT pub_day, COUNT(*) AS n FROM news WHERE pub_day BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' GROUP BY 1""")
+def day_range(spark, sf_dir):
+    return ev.day_counts(ev.day_range(tables.news(spark, sf_dir, "pub_day"), "1996-01-01", "1996-12-31"))
+
+
+@query("big_days", "news", "", """
+SELECT sqldate, COUNT(*) AS n FROM news WHERE sqldate IN (SELECT sqldate FROM news GROUP BY 1 HAVING COUNT(*) >= 25)
+GROUP BY 1""")
+def big_days(spark, sf_dir):
+    kept = ev.split_by_day(tables.news(spark, sf_dir, "sqldate"), 25)
+    return kept.groupBy("sqldate").agg(F.count("*").alias("n"))
+
+
+@query("latest_by_key", "", "", """
+SELECT l_orderkey AS key, r[2] AS l_partkey, r[3] AS l_suppkey, r[4] AS l_quantity FROM (
+  SELECT l_orderkey, MAX(ROW(ROW(l_linenumber, l_partkey, l_suppkey, l_quantity), l_partkey, l_suppkey, l_quantity)) AS r
+  FROM lineitem GROUP BY 1) q""")
+def latest_by_key(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"
+    )
+    return keyed.upsert_events(rows, order=["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"],
+                               values=["l_partkey", "l_suppkey", "l_quantity"])
+
+
+@query("key_range", "", "", """
+SELECT o_orderkey AS key, o_totalprice FROM orders WHERE CAST(o_orderkey AS VARCHAR) BETWEEN '1000' AND '3'""")
+def key_range(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice")
+    return keyed.scan_range(rows, "1000", "3", as_text=True)
+
+
+@query("uniform_keys", "news", seeds_sql(64, "news"), "SELECT i, event_id FROM seeds")
+def uniform_keys(spark, sf_dir):
+    return keyed.uniform_keys(tables.news(spark, sf_dir, "order_no", "event_id"), 64, "order_no", "event_id").select(
+        F.col("i").cast("int").alias("i"), "event_id")
+
+
+@query("tiny_cells", "news", assigned_sql(pl.NEWS_K) + SUMMARY_SQL.format(k=pl.NEWS_K), "\nUNION ALL ".join(
+    f"SELECT pub_day, cluster_id, '{m}' AS measure FROM summary WHERE {m} < 5e-8" for m in [*MEASURES, "share"]))
+def tiny_cells(spark, sf_dir):
+    daily = summary.day_summary(pl.assigned_news(spark, sf_dir), pl.NEWS_K)
+    return summary.tiny_cells(daily).select("pub_day", "cluster_id", "measure")
+
+
+@query("day_vectors", "news", assigned_sql(pl.NEWS_K) + SUMMARY_SQL.format(k=pl.NEWS_K), f"""
+SELECT pub_day, list_concat(flatten(list([{', '.join(f'ROUND({m}, 8)' for m in [*MEASURES, 'share'])}]
+  ORDER BY CASE WHEN cluster_id = -1 THEN {pl.NEWS_K} ELSE cluster_id END)), [CAST(MAX(n) AS DOUBLE)]) AS vector
+FROM summary GROUP BY 1""")
+def day_vectors(spark, sf_dir):
+    daily = summary.day_summary(pl.assigned_news(spark, sf_dir), pl.NEWS_K)
+    return summary.flatten_summary(rounded(daily, [*MEASURES, "share"], 8), pl.NEWS_K)
+
+
+@query("cluster_share", "news", assigned_sql(pl.NEWS_K), """
+SELECT pub_day, cluster_id, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY pub_day), 8) AS share
+FROM assigned GROUP BY 1, 2""")
+def cluster_share(spark, sf_dir):
+    return rounded(summary.cluster_share(pl.assigned_news(spark, sf_dir)), ["share"], 8)
+
+
+@query("event_counts", "news", "", """
+SELECT CAST(d AS DATE) AS day, COUNT(n.sqldate) AS n FROM range(DATE '1995-01-01', DATE '1997-01-01', INTERVAL 1 DAY) t(d)
+LEFT JOIN news n ON n.sqldate = CAST(d AS DATE) GROUP BY 1""")
+def event_counts(spark, sf_dir):
+    return summary.event_counts(tables.news(spark, sf_dir, "sqldate"), "1995-01-01", "1997-01-01")
+
+
+@query("intravariance", "news", assigned_sql(pl.NEWS_K), """
+SELECT cluster_id, ROUND(SUM(dist), 4) AS total, COUNT(*) AS size FROM assigned GROUP BY ROLLUP (cluster_id)""")
+def intravariance(spark, sf_dir):
+    return rounded(clusters.intravariance(pl.assigned_news(spark, sf_dir)), ["total"], 4)
+
+
+@query("cluster_contents", "news", assigned_sql(pl.NEWS_K), """
+SELECT cluster_id, event_id, url FROM assigned JOIN pages USING (page_id)""")
+def cluster_contents(spark, sf_dir):
+    assigned = pl.assigned_news(spark, sf_dir, pl.NEWS_K, "page_id")
+    pages = tables.table(spark, sf_dir, "pages").select("page_id", "url")
+    return clusters.cluster_contents(clean.attach_raw(assigned, pages, "page_id"), "url")
+
+
+@query("cluster_samples", "news", assigned_sql(pl.NEWS_K), """
+SELECT cluster_id, url, event_id FROM (SELECT cluster_id, url, event_id,
+  ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY event_id) AS rn FROM assigned JOIN pages USING (page_id)) q
+WHERE rn <= 20""")
+def cluster_samples(spark, sf_dir):
+    assigned = pl.assigned_news(spark, sf_dir, pl.NEWS_K, "page_id")
+    pages = tables.table(spark, sf_dir, "pages").select("page_id", "url")
+    return clusters.cluster_contents(clean.attach_raw(assigned, pages, "page_id"), "url", 20)
+
+
+@query("keyword_spread", "news", assigned_sql(pl.NEWS_K), """
+SELECT cluster_id, COUNT(*) AS hits FROM assigned JOIN pages USING (page_id) WHERE contains(lower(url), 'ref') GROUP BY 1""")
+def keyword_spread(spark, sf_dir):
+    assigned = pl.assigned_news(spark, sf_dir, pl.NEWS_K, "page_id")
+    pages = tables.table(spark, sf_dir, "pages").select("page_id", "url")
+    return clusters.keyword_spread(clean.attach_raw(assigned, pages, "page_id"), "ref")
+
+
+DENSE_SQL = """
+seed AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY label) - 1 AS INT) AS cluster_id, r[2] AS centroid
+  FROM (SELECT label, MIN(ROW(vec_id, CAST(embedding AS DOUBLE[]))) AS r FROM embeddings GROUP BY 1) q),
+near AS (SELECT vec_id, label, embedding, r[2] AS cluster_id, r[1] AS d2 FROM (
+  SELECT e.vec_id, e.label, e.embedding,
+    MIN(ROW(ROUND(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), s.centroid), lambda p: (p[1] - p[2]) ** 2)), 9), s.cluster_id)) AS r
+  FROM embeddings e CROSS JOIN seed s GROUP BY 1, 2, 3) q)"""
+
+
+def dense_assigned(spark, sf_dir):
+    """Embeddings assigned to one seed vector per label (the smallest id of each)."""
+    e = tables.table(spark, sf_dir, "embeddings")
+    seeds = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c"))
+    numbered = seeds.select(
+        (F.row_number().over(Window.orderBy("label")) - 1).alias("cluster_id"), F.col("c").cast("array<double>").alias("centroid")
+    )
+    return nearest.assign_dense(e, nearest.freeze(numbered), "embedding")
+
+
+@query("nearest_vector", "", DENSE_SQL, "SELECT vec_id, cluster_id, ROUND(SQRT(d2), 5) AS dist FROM near")
+def nearest_vector(spark, sf_dir):
+    return dense_assigned(spark, sf_dir).select("vec_id", "cluster_id", F.round("dist", 5).alias("dist"))
+
+
+@query("lloyd_step", "", DENSE_SQL, """
+SELECT cluster_id, CAST(i - 1 AS INT) AS dim, ROUND(AVG(CAST(v AS DOUBLE)), 6) AS mean FROM (
+  SELECT cluster_id, UNNEST(embedding) AS v, UNNEST(range(1, len(embedding) + 1)) AS i FROM near) q GROUP BY 1, 2""")
+def lloyd_step(spark, sf_dir):
+    return rounded(clusters.lloyd_step(dense_assigned(spark, sf_dir)), ["mean"])
+
+
+@query("kmeans_score", "", DENSE_SQL, "SELECT ROUND(-SUM(d2), 5) AS score FROM near")
+def kmeans_score(spark, sf_dir):
+    return rounded(clusters.kmeans_score(dense_assigned(spark, sf_dir)), ["score"], 5)
+
+
+@query("purity", "", DENSE_SQL, """
+SELECT ROUND(SUM(best) / SUM(n), 8) AS purity, CAST(SUM(n) AS BIGINT) AS n FROM (
+  SELECT cluster_id, MAX(n) AS best, SUM(n) AS n FROM (
+    SELECT cluster_id, label, COUNT(*) AS n FROM near GROUP BY 1, 2) q GROUP BY 1) r""")
+def purity(spark, sf_dir):
+    return rounded(clusters.purity(dense_assigned(spark, sf_dir)), ["purity"], 8)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsquant.session import ship_package
 from newsquant.sources.tables import FORECASTS_SQL, NEWS_SQL, PRICES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,7 @@ def query(name: str, views: str = "", ctes: str = "", sql: str | None = None):
     """Register a query; `sql` may use the named views and extra `ctes`."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(ship_package(spark), sf_dir)
         if sql is not None:
             parts: list[str] = []
             for v in views.split():

@@ -50,6 +50,20 @@ def assigned_news(spark: SparkSession, sf_dir: str, k: int = NEWS_K, *extra: str
     return nearest.assign_expanded(cleaned, NEWS_LAYOUT, stats, centroids)
 
 
+def mini_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compact events for medoid clustering; the domain comes from the event's page."""
+    raw = tables.news(
+        spark, sf_dir, "event_id", "order_no", "sqldate", "event_code", "quad_class", "goldstein", "actor1_name",
+        "actor2_name", "is_root", "num_mentions", "num_sources", "num_articles", "avg_tone", "actor1_geo_type",
+        "actor2_geo_type", "page_id",
+    )
+    pages = tables.table(spark, sf_dir, "pages").select("page_id", "url")
+    full = raw.join(pages, "page_id", "left").withColumns({
+        "actor1_geo": F.col("actor1_geo_type").cast("string"), "actor2_geo": F.col("actor2_geo_type").cast("string"),
+    })
+    return clean.mini_event(full, keep=("order_no",))
+
+
 def price_features(prices: DataFrame, horizon: int = 1) -> DataFrame:
     return series.up_label(series.rolling_mean(prices), horizon, out="label")
 

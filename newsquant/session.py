@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, for the Arrow functions."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="newsquant-"), "newsquant")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "newsquant"))
+        _SHIPPED.add(app)
+    return spark
+
+
 def build_session(app: str = "newsquant", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; `conf` overrides any setting."""
     settings = {
@@ -22,7 +38,7 @@ def build_session(app: str = "newsquant", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

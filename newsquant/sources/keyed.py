@@ -55,22 +55,26 @@ def uniform_keys(df: DataFrame, k: int, order: str, id_col: str, carry: Sequence
     """K seeds spread evenly over the key range: `(i, id_col, carry...)`.
 
     Target i is `lo + i * floor((hi - lo) / k)`; its seed is the row with the
-    smallest `(order, id)` at or after the target. Every row belongs to the
-    targets at or below it, and the smallest row at or after target i is the
-    smallest row of the first non-empty stride from i on, so one aggregation
-    per stride (k rows) is enough.
+    smallest `(order, id)` at or after the target, which is the smallest row
+    of the first non-empty stride from i on. The strides are reduced to their
+    smallest order value first (numbers only, map-side); the rows themselves
+    are fetched by a semi join on at most k values.
     """
     span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
     span = span.select(F.struct("lo", F.greatest(F.floor((F.col("hi") - F.col("lo")) / k), F.lit(1)).alias("step")))
     s = span.scalar()
     lo, step = s.getField("lo"), s.getField("step")
     stride = F.least(F.floor((F.col(order) - lo) / step), F.lit(k - 1)).cast("int")
-    firsts = (
-        df.filter(F.col(order).isNotNull())
-        .select(stride.alias("i"), F.struct(order, id_col).alias("_r"), id_col, *carry)
-        .groupBy("i").agg(*[F.min_by(c, "_r").alias(c) for c in (id_col, *carry)])
-    )
-    # At most k rows from here on: each stride's first row also serves the empty strides before it.
+    firsts = df.filter(F.col(order).isNotNull()).groupBy(stride.alias("i")).agg(F.min(order).alias("_first"))
+    # At most k rows: each stride's first value also serves the empty strides before it.
     previous = F.lag("i", 1, -1).over(Window.orderBy("i"))
-    spread = firsts.withColumn("previous", previous)
-    return spread.select(F.explode(F.sequence(F.col("previous") + 1, F.col("i"))).alias("i"), id_col, *carry)
+    seeds = firsts.withColumn("previous", previous).select(
+        F.explode(F.sequence(F.col("previous") + 1, F.col("i"))).alias("i"), "_first"
+    )
+    rows = df.select(F.col(order).alias("_order"), id_col, *carry).join(
+        firsts.select(F.col("_first").alias("_order")), "_order", "left_semi"
+    )
+    picked = rows.groupBy(F.col("_order").alias("_first")).agg(
+        *[F.min_by(c, F.col(id_col)).alias(c) for c in (id_col, *carry)]
+    )
+    return seeds.join(picked, "_first").select("i", id_col, *carry)

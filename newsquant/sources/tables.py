@@ -16,6 +16,7 @@ _NEWS: dict[str, tuple[set[str], str]] = {
     "num_mentions": (set(), "cast(l_quantity as int)"),
     "num_sources": (set(), "cast(1 + l_suppkey % 5 as int)"),
     "num_articles": (set(), "l_linenumber"),
+    "is_root": (set(), "cast(l_linenumber = 1 as int)"),
     "avg_tone": (set(), "round(l_tax * 1000 - 40, 2)"),
     "event_root_code": (set(), "case when l_partkey % 50 = 0 then null else cast(1 + l_partkey % 20 as int) end"),
     "event_code": ({"part"}, "p_brand"),
@@ -124,6 +125,7 @@ SELECT concat_ws('-', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, CA
   CAST(l.l_quantity AS INT) AS num_mentions,
   CAST(1 + l.l_suppkey % 5 AS INT) AS num_sources,
   l.l_linenumber AS num_articles,
+  CAST(l.l_linenumber = 1 AS INT) AS is_root,
   ROUND(l.l_tax * 1000 - 40, 2) AS avg_tone,
   CASE WHEN l.l_partkey % 50 = 0 THEN NULL ELSE CAST(1 + l.l_partkey % 20 AS INT) END AS event_root_code,
   p.p_brand AS event_code,
