@@ -3,7 +3,7 @@
 The sum of distances from one row to its cluster separates by column. For a
 number it follows from counts and sums below and above the value; for a
 category it is the cluster size minus the frequency of the value. Both come
-from counts per (cluster, column, value).
+from counts per (cluster, column, value), which are small beside the rows.
 """
 
 from __future__ import annotations
@@ -16,39 +16,45 @@ from pyspark.sql import functions as F
 from newsquant.functions.distance import MINI_CATEGORY, MINI_NUMERIC
 from newsquant.operators.nearest import assign_mixed, freeze
 from newsquant.operators.ranking import value_prefix
+from newsquant.session import cut_lineage
 from newsquant.sources.keyed import uniform_keys
 
 
-def medoid_costs(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC),
-                 category: Sequence[str] = tuple(MINI_CATEGORY)) -> DataFrame:
-    """Adds `cost`, each row's sum of distances to its own cluster (itself included)."""
-    size = assigned.groupBy("cluster_id").agg(F.count("*").alias("_size"))
-    out = assigned.join(size, "cluster_id").withColumn("cost", F.lit(0.0))
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in numeric
-    ])).alias("c")
-    counts = (
-        assigned.select("cluster_id", cells).select("cluster_id", "c.*")
-        .groupBy("cluster_id", "column", "v").agg(F.count("*").alias("n"))
-        .withColumn("s", F.col("v") * F.col("n"))
-    )
-    ranked = value_prefix(counts, ["cluster_id", "column"], "v", ["n", "s"])
-    v = F.col("v")
-    total = v * F.col("n_upto") - F.col("s_upto") + F.col("s_all") - F.col("s_upto") - v * (F.col("n_all") - F.col("n_upto"))
-    costs = ranked.select("cluster_id", "column", "v", total.alias("_cost"))
+def _cells(assigned: DataFrame, numeric: Sequence[str], category: Sequence[str], *keep: str) -> DataFrame:
+    """One row per event and column: `(keep..., cluster_id, column, key, v)`; `v` is set for numbers."""
+    cells = []
     for c in numeric:
-        side = costs.filter(F.col("column") == c).select(F.col("cluster_id").alias("_c"), F.col("v").alias("_v"), "_cost")
-        hit = (F.col("cluster_id") == F.col("_c")) & (F.col(c).cast("double") == F.col("_v"))
-        out = out.join(side, hit).withColumn("cost", F.col("cost") + F.col("_cost")).drop("_c", "_v", "_cost")
+        v = F.col(c).cast("double")
+        cells.append(F.struct(F.lit(c).alias("column"), v.cast("string").alias("key"), v.alias("v")))
     for c in category:
-        side = assigned.filter(F.col(c).isNotNull()).groupBy(
-            F.col("cluster_id").alias("_c"), F.col(c).alias("_v")
-        ).agg(F.count("*").alias("_n"))
-        hit = (F.col("cluster_id") == F.col("_c")) & (F.col(c) == F.col("_v"))
-        out = out.join(side, hit, "left").withColumn(
-            "cost", F.col("cost") + F.col("_size") - F.coalesce("_n", F.lit(0))
-        ).drop("_c", "_v", "_n")
-    return out.drop("_size")
+        key = F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c)))
+        cells.append(F.struct(F.lit(c).alias("column"), key.alias("key"), F.lit(None).cast("double").alias("v")))
+    return assigned.select(*keep, "cluster_id", F.explode(F.array(*cells)).alias("c")).select(*keep, "cluster_id", "c.*")
+
+
+def value_costs(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC),
+                category: Sequence[str] = tuple(MINI_CATEGORY)) -> DataFrame:
+    """Share of the cost that each value of each column carries: `(cluster_id, column, key, cost)`."""
+    counts = _cells(assigned, numeric, category).groupBy("cluster_id", "column", "key", "v").agg(F.count("*").alias("n"))
+    counts = cut_lineage(counts)  # read several times below; the events are scanned once
+    numbers = counts.filter(F.col("column").isin(*numeric)).withColumn("s", F.col("v") * F.col("n"))
+    ranked = value_prefix(numbers, ["cluster_id", "column"], "v", ["n", "s"])
+    below = F.col("v") * F.col("n_upto") - F.col("s_upto")
+    above = F.col("s_all") - F.col("s_upto") - F.col("v") * (F.col("n_all") - F.col("n_upto"))
+    words = counts.filter(F.col("column").isin(*category))
+    size = words.groupBy("cluster_id", "column").agg(F.sum("n").alias("size"))
+    mismatches = F.col("size") - F.when(F.col("key") == "", 0).otherwise(F.col("n"))
+    return ranked.select("cluster_id", "column", "key", (below + above).alias("cost")).unionByName(
+        words.join(size, ["cluster_id", "column"]).select("cluster_id", "column", "key", mismatches.cast("double").alias("cost"))
+    )
+
+
+def medoid_costs(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC),
+                 category: Sequence[str] = tuple(MINI_CATEGORY), id_col: str = "event_id") -> DataFrame:
+    """`(id, cluster_id, cost)`: each row's sum of distances to its own cluster (itself included)."""
+    costs = cut_lineage(value_costs(assigned, numeric, category))
+    cells = _cells(assigned, numeric, category, id_col).drop("v")
+    return cells.join(costs, ["cluster_id", "column", "key"]).groupBy(id_col, "cluster_id").agg(F.sum("cost").alias("cost"))
 
 
 def medoid_step(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC),
@@ -59,17 +65,17 @@ def medoid_step(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC
     The member with the smallest cost wins, ties by id. A current medoid that
     belongs to its cluster stays unless another member is strictly better.
     """
-    costed = medoid_costs(assigned, numeric, category).withColumn("_total", F.round("cost", 6))
+    costed = medoid_costs(assigned, numeric, category, id_col).withColumn("total", F.round("cost", 6))
     stay = F.lit(1)
     if medoids is not None:
-        current = medoids.select(F.col("cluster_id").alias("_c"), F.col(id_col).alias("_id"))
-        costed = costed.join(current, (F.col("cluster_id") == F.col("_c")) & (F.col(id_col) == F.col("_id")), "left")
-        stay = F.when(F.col("_id").isNotNull(), 0).otherwise(1)
-    order = F.struct(F.col("_total"), stay, F.col(id_col))
-    row = F.struct(id_col, *numeric, *category, F.col("_total").alias("total"))
-    best = costed.groupBy("cluster_id").agg(F.min_by(row, order).alias("m"), F.count("*").alias("size"))
-    names = [id_col, *numeric, *category, "total"]
-    return best.select("cluster_id", *[F.col("m").getField(n).alias(n) for n in names], "size")
+        current = medoids.select("cluster_id", id_col, F.lit(0).alias("_stay"))
+        costed = costed.join(current, ["cluster_id", id_col], "left")
+        stay = F.coalesce("_stay", F.lit(1))
+    order = F.struct(F.col("total"), stay, F.col(id_col))
+    best = costed.groupBy("cluster_id").agg(F.min(order).alias("m"), F.count("*").alias("size"))
+    best = best.select("cluster_id", F.col("m").getField(id_col).alias(id_col), F.col("m.total").alias("total"), "size")
+    rows = assigned.select(id_col, *numeric, *category)
+    return best.join(rows, id_col).select("cluster_id", id_col, *numeric, *category, "total", "size")
 
 
 def seed_medoids(events: DataFrame, k: int, order: str, numeric: Sequence[str] = tuple(MINI_NUMERIC),
@@ -83,10 +89,11 @@ def kmedoids(events: DataFrame, k: int, order: str, max_iter: int = 10, numeric:
              category: Sequence[str] = tuple(MINI_CATEGORY), id_col: str = "event_id") -> tuple[DataFrame, DataFrame]:
     """Assign and update until no medoid changes: `(medoids, history)`.
 
-    Only the K medoids pass from one round to the next, as a small local
-    table, so the plan of a round never contains earlier rounds.
+    The events are landed once. Only the K medoids pass from one round to the
+    next, as a small local table, so no plan contains earlier rounds.
     """
     columns = [id_col, *numeric, *category]
+    events = cut_lineage(events)
     medoids, history = seed_medoids(events, k, order, numeric, category, id_col), None
     for step in range(max_iter):
         assigned = assign_mixed(events, medoids, numeric, category, id_col)

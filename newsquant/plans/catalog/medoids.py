@@ -9,6 +9,7 @@ from newsquant.operators import medoids, nearest
 from newsquant.plans import pipelines as pl
 from newsquant.plans.catalog.news import DOMAIN_SQL, seeds_sql
 from newsquant.plans.catalog.registry import query
+from newsquant.session import cut_lineage
 
 K = 6
 
@@ -46,7 +47,7 @@ def _costs_sql() -> str:
 
 
 def assigned(spark, sf_dir):
-    events = pl.mini_news(spark, sf_dir)
+    events = cut_lineage(pl.mini_news(spark, sf_dir))
     return nearest.assign_mixed(events, medoids.seed_medoids(events, K, "order_no"))
 
 
