@@ -159,6 +159,15 @@ def _with_result(df: DataFrame, result: Column) -> DataFrame:
     return df.withColumn("_near", result).select(*df.columns, "_near.cluster_id", "_near.dist")
 
 
+def assign_models(df: DataFrame, lay: Layout, models: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Assign several models in one pass over the events: one row per (event, k) with `k`, `cluster_id`."""
+    out, found = df, []
+    for k, (stats, centroids) in models.items():
+        out = assign_expanded(out, lay, stats, centroids).drop("dist").withColumnRenamed("cluster_id", f"_c{k}")
+        found.append(F.struct(F.lit(k).alias("k"), F.col(f"_c{k}").alias("cluster_id")))
+    return out.select(*df.columns, F.explode(F.array(*found)).alias("_m")).select(*df.columns, "_m.*")
+
+
 def freeze(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """A small model table computed once and kept as local data; larger ones are refused."""
     rows = df.limit(max_rows + 1).toArrow()

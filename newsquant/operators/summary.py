@@ -12,44 +12,46 @@ from newsquant.schema import IMPORTANCE
 TOTAL = -1
 
 
-def day_summary(assigned: DataFrame, k: int | Sequence[int], zero_fill: bool = True, day: str = "pub_day",
+def day_summary(assigned: DataFrame, k: int | str, zero_fill: bool = True, day: str = "pub_day",
                 measures: Sequence[str] = tuple(IMPORTANCE)) -> DataFrame:
     """Per day and cluster: sum of each importance measure and the event count, over the day's events N.
 
     Rows `(day, cluster_id, measures..., share, n)`; `cluster_id` -1 is the
-    whole day. `k` is the cluster count or the list of ids. One shuffle of
-    partial sums on (day, cluster); totals, N and zero rows come from that
-    small result.
+    whole day. `k` is the cluster count, or the name of a column with it: then
+    several models are summarised side by side and the column is kept. One
+    shuffle of partial sums on (k, day, cluster); totals, N and zero rows come
+    from that small result.
     """
-    ids = list(range(k)) if isinstance(k, int) else list(k)
+    keys = [day] if isinstance(k, int) else [k, day]
+    count = F.lit(k) if isinstance(k, int) else F.col(k)
     sums = [F.sum(F.col(m).cast("double")).alias(m) for m in measures]
-    cells = assigned.groupBy(day, "cluster_id").agg(*sums, F.count("*").alias("events"))
+    cells = assigned.groupBy(*keys, "cluster_id").agg(*sums, F.count("*").alias("events"))
     # One array per day (at most K cells) gives the total and the empty clusters without a join.
     values = F.struct(*measures, "events")
     listed = F.collect_list(F.struct(F.col("cluster_id").alias("id"), values.alias("v"))).alias("cells")
     whole = F.struct(*[F.sum(m).alias(m) for m in measures], F.sum("events").alias("events"))
-    days = cells.groupBy(day).agg(listed, whole.alias("whole"))
+    days = cells.groupBy(*keys).agg(listed, whole.alias("whole"))
     blocks = [F.col("cells"), F.array(F.struct(F.lit(TOTAL).alias("id"), F.col("whole").alias("v")))]
     if zero_fill:
         zero = F.struct(*[F.lit(0.0).alias(m) for m in measures], F.lit(0).cast("bigint").alias("events"))
-        every = F.array(*[F.lit(i) for i in ids]).cast("array<int>")
-        absent = F.array_except(every, F.transform("cells", lambda c: c["id"]))
+        absent = F.array_except(F.sequence(F.lit(0), (count - 1).cast("int")), F.transform("cells", lambda c: c["id"]))
         blocks.append(F.transform(absent, lambda i: F.struct(i.alias("id"), zero.alias("v"))))
-    rows = days.select(day, F.col("whole.events").alias("n"), F.explode(F.concat(*blocks)).alias("c"))
+    rows = days.select(*keys, F.col("whole.events").alias("n"), F.explode(F.concat(*blocks)).alias("c"))
     return rows.select(
-        day, F.col("c.id").alias("cluster_id"), *[(F.col(f"c.v.{m}") / F.col("n")).alias(m) for m in measures],
+        *keys, F.col("c.id").alias("cluster_id"), *[(F.col(f"c.v.{m}") / F.col("n")).alias(m) for m in measures],
         (F.col("c.v.events") / F.col("n")).alias("share"), "n",
     )
 
 
-def flatten_summary(summary: DataFrame, k: int, day: str = "pub_day",
+def flatten_summary(summary: DataFrame, k: int | str, day: str = "pub_day",
                     measures: Sequence[str] = tuple(IMPORTANCE)) -> DataFrame:
     """Export form: one array per day, index `cluster * 8 + measure`, block k is the total, N last."""
-    block = F.when(F.col("cluster_id") == TOTAL, k).otherwise(F.col("cluster_id"))
+    keys = [day] if isinstance(k, int) else [k, day]
+    block = F.when(F.col("cluster_id") == TOTAL, F.lit(k) if isinstance(k, int) else F.col(k)).otherwise(F.col("cluster_id"))
     values = F.array(*[F.col(m) for m in measures], F.col("share"))
     blocks = F.array_sort(F.collect_list(F.struct(block.alias("b"), values.alias("v"))))
     flat = F.flatten(F.transform(blocks, lambda x: x["v"]))
-    return summary.groupBy(day).agg(F.concat(flat, F.array(F.max("n").cast("double"))).alias("vector"))
+    return summary.groupBy(*keys).agg(F.concat(flat, F.array(F.max("n").cast("double"))).alias("vector"))
 
 
 def tiny_cells(summary: DataFrame, eps: float = 5e-8, day: str = "pub_day",
@@ -85,5 +87,5 @@ def event_counts(df: DataFrame, start: str, end: str, day: str = "sqldate") -> D
 
 def cluster_share(assigned: DataFrame, day: str = "pub_day") -> DataFrame:
     """Share of each cluster in its day; counted first, then divided inside the small day table."""
-    cells = assigned.groupBy(day, "cluster_id").agg(F.count("*").alias("n"))
+    cells = assigned.groupBy(*keys, "cluster_id").agg(F.count("*").alias("n"))
     return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(day)))

@@ -64,6 +64,30 @@ def mini_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.mini_event(full, keep=("order_no",))
 
 
+def news_vectors(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = (NEWS_K,)) -> DataFrame:
+    """Day vectors `(k, day, news)` for several K from one pass over the events."""
+    cleaned = cleaned_news(spark, sf_dir)
+    stats = nearest.freeze(encode.slot_stats(cleaned, NEWS_LAYOUT))
+    topics = [r.name for r, _ in NEWS_LAYOUT.topics]
+    models = {}
+    for k in ks:
+        seeds = uniform_keys(cleaned, k, "order_no", "event_id", topics)
+        models[k] = (stats, nearest.event_centroids(seeds, NEWS_LAYOUT, stats))
+    daily = summary.day_summary(nearest.assign_models(cleaned, NEWS_LAYOUT, models), "k")
+    return summary.flatten_summary(daily, "k").select("k", F.col("pub_day").alias("day"), F.col("vector").alias("news"))
+
+
+PRICE_COLUMNS = ["price", "ma5", "ma10", "ma30"]
+
+
+def model_panel(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = (NEWS_K,), horizon: int = 1) -> DataFrame:
+    """Rows (symbol, k, day): price features, returns, label, split and the day's news vector."""
+    df = series.rolling_mean(tables.prices(spark, sf_dir))
+    df = series.up_label(series.scaled_log_return(series.log_ret(df)), horizon, out="label")
+    df = dataset.split_ratio(df.filter(F.col("ma30").isNotNull()))
+    return dataset.join_features(news_vectors(spark, sf_dir, ks), df)
+
+
 def price_features(prices: DataFrame, horizon: int = 1) -> DataFrame:
     return series.up_label(series.rolling_mean(prices), horizon, out="label")
 
