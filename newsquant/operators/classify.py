@@ -28,16 +28,35 @@ def _accuracy(model, df: DataFrame, label: str) -> float:
     return float("nan") if value is None else float(value)
 
 
+def compact(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
+    """Training rows kept in memory or on disk, in partitions of a useful size.
+
+    Iterative fits start one task per partition and pass, so many nearly empty
+    partitions cost more than the arithmetic. Large frames keep their split.
+    """
+    kept = df.persist()
+    wanted = max(1, -(-kept.count() // rows_per_partition))
+    if wanted >= kept.rdd.getNumPartitions():
+        return kept
+    small = kept.coalesce(wanted).persist()
+    small.count()
+    kept.unpersist()
+    return small
+
+
 def _grid(data: DataFrame, cells: Sequence[tuple], fit: Callable, label: str, parallelism: int):
     """Fit every cell on the 'train' rows and score all splits; cells run side by side."""
-    parts = {s: data.filter(F.col("split") == s) for s in ("train", "valid", "test")}
+    parts = {s: compact(data.filter(F.col("split") == s)) for s in ("train", "valid", "test")}
 
     def run(cell):
         model = fit(parts["train"], cell)
         return cell, [_accuracy(model, parts[s], label) for s in ("train", "valid", "test")], model
 
     with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(run, cells))
+        results = list(pool.map(run, cells))
+    for part in parts.values():
+        part.unpersist()
+    return results
 
 
 def _best(results) -> int:
@@ -52,7 +71,7 @@ def logistic_grid(df: DataFrame, penalties: Sequence[str] = ("l1", "l2"), cs: Se
 
     `C` weighs the summed loss, hence regParam = 1 / (C n).
     """
-    data = df.select(features, label, "split").persist()
+    data = compact(df.select(features, label, "split"))
     n = data.filter(F.col("split") == "train").count()
 
     def fit(train, cell):
@@ -119,8 +138,9 @@ def svm_grid(df: DataFrame, kernels: Sequence[str] = ("linear", "poly", "rbf", "
              max_iter: int = 30, parallelism: int = 4):
     """SVM per (kernel, C): score table and the best (kernel, model)."""
     results = []
+    base = compact(df.select(features, label, "split"))
     for kernel in kernels:
-        data = kernel_features(df, kernel, features).select("kernel_features", label, "split").persist()
+        data = compact(kernel_features(base, kernel, features).select("kernel_features", label, "split"))
         n = data.filter(F.col("split") == "train").count()
 
         def fit(train, cell, n=n):
@@ -129,6 +149,7 @@ def svm_grid(df: DataFrame, kernels: Sequence[str] = ("linear", "poly", "rbf", "
 
         results += _grid(data, [(kernel, float(c)) for c in cs], fit, label, parallelism)
         data.unpersist()
+    base.unpersist()
     at = _best(results)
     rows = [(k, c, *s, i == at) for i, ((k, c), s, _) in enumerate(results)]
     schema = "kernel string, c double, train_acc double, valid_acc double, test_acc double, best boolean"
@@ -140,15 +161,17 @@ def holdout_svm(df: DataFrame, times: int = 100, c: float = 100.0, frac: float =
     """Accuracy of a linear SVM over repeated random splits: `(draw, accuracy, n_test)`."""
     from newsquant.operators.sample import repeated_holdout
 
-    data = repeated_holdout(df.select(id_col, features, label), frac, times, seed, id_col).persist()
+    data = compact(repeated_holdout(df.select(id_col, features, label), frac, times, seed, id_col))
     n = int(data.filter(F.col("draw") == 0).count() * frac)
 
     def run(draw):
-        rows = data.filter(F.col("draw") == draw)
+        rows = compact(data.filter(F.col("draw") == draw))
         model = LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * n), standardization=False, maxIter=30).fit(
             rows.filter(F.col("split") == "train"))
         hit = (F.col("prediction") == F.col(label)).cast("double")
-        return (draw, *model.transform(rows.filter(F.col("split") == "test")).agg(F.avg(hit), F.count("*")).first())
+        score = model.transform(rows.filter(F.col("split") == "test")).agg(F.avg(hit), F.count("*")).first()
+        rows.unpersist()
+        return (draw, *score)
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = list(pool.map(run, range(times)))
@@ -158,7 +181,7 @@ def holdout_svm(df: DataFrame, times: int = 100, c: float = 100.0, frac: float =
 
 def state_share_logistic(df: DataFrame, columns: Sequence[str], label: str = "label"):
     """Logistic regression on regime state and cluster shares per day: model and score per split."""
-    data = assemble(df.dropna(subset=[*columns, label]), columns).select("features", label, "split").persist()
+    data = compact(assemble(df.dropna(subset=[*columns, label]), columns).select("features", label, "split"))
     model = LogisticRegression(labelCol=label, maxIter=50).fit(data.filter(F.col("split") == "train"))
     hit = (F.col("prediction") == F.col(label)).cast("double")
     scores = model.transform(data).groupBy("split").agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))

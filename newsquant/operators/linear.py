@@ -11,9 +11,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsquant.operators.classify import compact
+
 MAX_GRAM_FEATURES = 60
 
 
@@ -81,8 +84,6 @@ def coefficient_table(model: DataFrame, terms: Sequence[str], by: Sequence[str]
 
 def fit_linear(df: DataFrame, features: str = "features", label: str = "label", reg: float = 0.0, l1: float = 0.0):
     """ML linear regression on a vector column for wide problems; `l1` 1 is the lasso."""
-    from pyspark.ml.regression import LinearRegression
-
     return LinearRegression(featuresCol=features, labelCol=label, regParam=reg, elasticNetParam=l1).fit(df)
 
 
@@ -147,7 +148,7 @@ def lasso_cv(df: DataFrame, lambdas: Sequence[float], folds: int = 3, features:
     """
     cuts = df.agg(F.percentile_approx(F.unix_date(order), [i / (folds + 1) for i in range(1, folds + 1)])).first()[0]
     block = sum([(F.unix_date(order) > c).cast("int") for c in cuts], F.lit(0))
-    data = df.withColumn("_block", block).persist()
+    data = compact(df.withColumn("_block", block))
     rows = []
     for lam in lambdas:
         errors = []
