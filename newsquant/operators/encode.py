@@ -53,8 +53,8 @@ def layout(sizes: dict[str, int] | None = None, roles: Sequence[Role] = EVENT_RO
     return Layout(tuple(replace(r, size=sizes.get(r.name, r.size)) for r in roles))
 
 
-def slot_pairs(lay: Layout, missing: str = "zero") -> Column:
-    """Array of `(slot, value)` for the non-zero topic slots of a row."""
+def slot_pairs(lay: Layout, missing: str = "zero") -> list[Column]:
+    """`(slot, value)` of every topic column of a row; slot NULL where the cell is zero."""
     pairs = []
     for r, at in lay.topics:
         if r.kind == "categorical":
@@ -64,7 +64,7 @@ def slot_pairs(lay: Layout, missing: str = "zero") -> Column:
             slot = F.when(F.col(r.name) != 0, F.lit(at)).cast("int")
             value = F.col(r.name).cast("double")
         pairs.append(F.struct(slot.alias("slot"), value.alias("value")))
-    return F.filter(F.array(*pairs), lambda p: p["slot"].isNotNull())
+    return pairs
 
 
 def expand(df: DataFrame, lay: Layout, id_col: str = "event_id", missing: str = "zero") -> DataFrame:
@@ -72,14 +72,12 @@ def expand(df: DataFrame, lay: Layout, id_col: str = "event_id", missing: str =
 
     Importance columns follow the topic slots.
     """
-    tail = [
-        F.struct(F.lit(lay.width + i).alias("slot"), F.col(c).cast("double").alias("value"))
-        for i, c in enumerate(lay.importance)
-    ]
-    tail = F.filter(F.array(*tail), lambda p: p["value"].isNotNull() & (p["value"] != 0))
-    return df.select(id_col, F.explode(F.concat(slot_pairs(lay, missing), tail)).alias("p")).select(
-        id_col, "p.slot", "p.value"
-    )
+    pairs = slot_pairs(lay, missing)
+    for i, c in enumerate(lay.importance):
+        slot = F.when(F.col(c) != 0, F.lit(lay.width + i)).cast("int")
+        pairs.append(F.struct(slot.alias("slot"), F.col(c).cast("double").alias("value")))
+    cells = df.select(id_col, F.explode(F.array(*pairs)).alias("p")).select(id_col, "p.slot", "p.value")
+    return cells.filter(F.col("slot").isNotNull())
 
 
 def slot_stats(df: DataFrame, lay: Layout) -> DataFrame:
@@ -88,9 +86,9 @@ def slot_stats(df: DataFrame, lay: Layout) -> DataFrame:
     Zeros are never materialised: sums over the non-zero cells and the row
     count are enough, and partial sums combine map-side over `width` keys.
     """
-    row = F.array(F.struct(F.lit(-1).alias("slot"), F.lit(1.0).alias("value")))  # slot -1 counts the rows
-    cells = df.select(F.explode(F.concat(row, slot_pairs(lay))).alias("p")).select("p.slot", "p.value")
-    seen = cells.groupBy("slot").agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
+    row = F.struct(F.lit(-1).alias("slot"), F.lit(1.0).alias("value"))  # slot -1 counts the rows
+    cells = df.select(F.explode(F.array(row, *slot_pairs(lay))).alias("p")).select("p.slot", "p.value")
+    seen = cells.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
     every = df.sparkSession.range(-1, lay.width).select(F.col("id").cast("int").alias("slot"))
     full = every.join(seen, "slot", "left").fillna(0.0, ["s1", "s2"])
     n = F.max(F.when(F.col("slot") == -1, F.col("s1"))).over(Window.partitionBy())  # `width` + 1 rows

@@ -1,8 +1,8 @@
 """Ranks, cumulative sums and exact quantiles that never put a whole group in one task.
 
 A plain window over a group sorts the group in a single task. The functions
-here split each group into ordered buckets, total the buckets (a small table),
-and finish inside the buckets. The results equal those of the plain window.
+here split each group into ordered parts, total the parts (a small table),
+and finish inside the parts. The results equal those of the plain window.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsquant.functions.hashing import key_bucket, random_key
+from newsquant.session import cut_lineage
 
 BUCKETS = 1024
 
@@ -70,35 +71,29 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | str
     return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
 
 
-def value_prefix(counts: DataFrame, by: Sequence[str], value: str, sums: Sequence[str],
-                 buckets: int = 64) -> DataFrame:
+def value_prefix(counts: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """Running totals over distinct values: adds `<s>_upto` (inclusive) and `<s>_all`.
 
-    `counts` has one row per (group, value). Each group is cut at approximate
-    quantiles of its own values, so no task holds a whole group even if nearly
-    all values differ; the cut points affect speed only.
+    `counts` has one row per (group, value). It is range-partitioned by (group,
+    value) and landed with its partition number, so a group may span any number
+    of partitions; earlier partitions of a group enter by their totals.
     """
     by, sums = list(by), list(sums)
-    if not by:
-        return value_prefix(counts.withColumn("_all", F.lit(0)), ["_all"], value, sums, buckets).drop("_all")
-    cuts = F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000)
-    bounds = counts.groupBy(*by).agg(cuts.alias("_cuts"))
-    placed = counts.join(bounds, by).withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda b: b < F.col(value).cast("double")))
-    ).drop("_cuts")
-    totals = placed.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    ranged = cut_lineage(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*by, "_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    # One row per (group, partition).
     group = Window.partitionBy(*by)
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        *by, "_bucket",
+        *by, "_part",
         *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}_before") for s in sums],
         *[F.sum(f"_{s}").over(group).alias(f"{s}_all") for s in sums],
     )
-    inner = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(totals, [*by, "_bucket"])
+    inner = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(totals, [*by, "_part"])
     for s in sums:
         out = out.withColumn(f"{s}_upto", F.col(f"_{s}_before") + F.sum(s).over(inner))
-    return out.drop("_bucket", *[f"_{s}_before" for s in sums])
+    return out.drop("_part", *[f"_{s}_before" for s in sums])
 
 
 def exact_quantiles(df: DataFrame, column: str, qs: dict[str, float], by: Sequence[str] = (),

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from newsquant.operators import autoreg, classify, clusters, dataset, encode, grid, linear, mixture, nearest
-from newsquant.operators import regimes, series, summary, text as words
+from newsquant.operators import autoreg, classify, clusters, dataset, encode, grid, impact, linear, mixture, nearest
+from newsquant.operators import regimes, series, summary
+from newsquant.operators import text as words
 from newsquant.plans import pipelines as pl
 from newsquant.plans.catalog.explore import COUNTRIES, IMPACT_SQL, TYPES1, TYPES2, _cells_sql, _impact_input
 from newsquant.plans.catalog.news import CLEAN_SQL
 from newsquant.plans.catalog.registry import query
 from newsquant.plans.catalog.text import english
-from newsquant.operators import impact
+from newsquant.session import cut_lineage
 from newsquant.sources import tables
 
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY day)"
@@ -126,7 +127,7 @@ def hmm_states(spark, sf_dir):
 @query("kmeans_fit")
 def kmeans_fit(spark, sf_dir):
     """K-means on scaled sparse events; centroids in standardised slots with their sizes."""
-    cleaned = pl.cleaned_news(spark, sf_dir)
+    cleaned = cut_lineage(pl.cleaned_news(spark, sf_dir))
     stats = nearest.freeze(encode.slot_stats(cleaned, pl.NEWS_LAYOUT))
     rows = sorted(stats.collect(), key=lambda r: r["slot"])
     std, shift = [r["std"] for r in rows], [r["mean"] / r["std"] for r in rows]

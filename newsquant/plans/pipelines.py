@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsquant.operators import clean, dataset, encode, nearest, series, summary
+from newsquant.session import cut_lineage
 from newsquant.sources import tables
 from newsquant.sources.keyed import uniform_keys
 
@@ -45,7 +46,8 @@ def news_model(cleaned: DataFrame, k: int = NEWS_K) -> tuple[DataFrame, DataFram
 
 
 def assigned_news(spark: SparkSession, sf_dir: str, k: int = NEWS_K, *extra: str) -> DataFrame:
-    cleaned = cleaned_news(spark, sf_dir, *extra)
+    """Cleaned events with their cluster. They are landed once: statistics, seeds and assignment read them."""
+    cleaned = cut_lineage(cleaned_news(spark, sf_dir, *extra))
     stats, centroids = news_model(cleaned, k)
     return nearest.assign_expanded(cleaned, NEWS_LAYOUT, stats, centroids)
 
@@ -66,7 +68,7 @@ def mini_news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news_vectors(spark: SparkSession, sf_dir: str, ks: tuple[int, ...] = (NEWS_K,)) -> DataFrame:
     """Day vectors `(k, day, news)` for several K from one pass over the events."""
-    cleaned = cleaned_news(spark, sf_dir)
+    cleaned = cut_lineage(cleaned_news(spark, sf_dir))
     stats = nearest.freeze(encode.slot_stats(cleaned, NEWS_LAYOUT))
     topics = [r.name for r, _ in NEWS_LAYOUT.topics]
     models = {}

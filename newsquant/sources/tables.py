@@ -61,6 +61,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows over all cores if the scan has fewer splits than half the cores.
+
+    Only small inputs are touched: a scan with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def news(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """News events built from the order tables; all columns unless some are named.
 
@@ -71,7 +80,7 @@ def news(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     wanted = list(columns) or NEWS_COLUMNS
     needs = set().union(*[_NEWS[c][0] for c in wanted if c != "page_id"])
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey")
     if "orders" in needs:
         orders = table(spark, sf_dir, "orders")
         df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
