@@ -16,6 +16,6 @@ def random_key(id_col, seed=0) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
-def key_bucket(key: Column, buckets: int) -> Column:
+def key_bucket(key: Column, buckets: Column) -> Column:
     """Equal-width bucket of a uniform 32-bit key; order-preserving."""
-    return F.floor(key * F.lit(buckets) / F.lit(KEY_RANGE)).cast("int")
+    return F.floor(key * buckets / F.lit(KEY_RANGE)).cast("int")

@@ -15,48 +15,50 @@ from pyspark.sql import functions as F
 from newsquant.functions.hashing import key_bucket, random_key
 from newsquant.session import cut_lineage
 
-BUCKETS = 1024
+ROWS_PER_BUCKET = 20_000
 
 
-def keyed_rank(df: DataFrame, by: Sequence[str], id_col: str, seed=0, rank: str = "rank",
-               buckets: int = BUCKETS) -> DataFrame:
+def keyed_rank(df: DataFrame, by: Sequence[str], id_col: str, seed=0, rank: str = "rank") -> DataFrame:
     """1-based rank of a row inside its group by `(random key, id)`.
 
-    The key is uniform, so equal-width key buckets have equal sizes for any
-    group; one shuffle on (group, bucket) serves both the join and the window.
+    The key is uniform, so a group of n rows splits into n / ROWS_PER_BUCKET
+    equal key ranges; one shuffle on (group, bucket) serves the join and the window.
     """
     by = list(by)
-    keyed = df.withColumn("_key", random_key(id_col, seed)).withColumn("_bucket", key_bucket(F.col("_key"), buckets))
-    return (
-        _join_offsets(keyed, by, buckets)
-        .withColumn("_pos", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key", id_col)))
-        .withColumn(rank, (F.col("_before") + F.col("_pos")).cast("bigint"))
-        .drop("_key", "_bucket", "_before", "_pos")
-    )
+    pos = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key", id_col))
+    placed = _bucketed(df, by, id_col, seed).withColumn("_pos", pos)
+    return placed.withColumn(rank, (F.col("_before") + F.col("_pos")).cast("bigint")).drop(
+        "_key", "_bucket", "_before", "_pos")
 
 
-def keyed_first(df: DataFrame, by: Sequence[str], id_col: str, quota: str, seed=0,
-                buckets: int = BUCKETS) -> DataFrame:
+def keyed_first(df: DataFrame, by: Sequence[str], id_col: str, quota: str, seed=0, size: str | None = None) -> DataFrame:
     """The `quota` first rows of each group by `(random key, id)`; quota is a column.
 
+    `size` names a column that already holds the group's row count.
     Buckets that start at or after the quota are dropped before any sort.
     """
     by = list(by)
-    keyed = df.withColumn("_key", random_key(id_col, seed)).withColumn("_bucket", key_bucket(F.col("_key"), buckets))
-    placed = _join_offsets(keyed, by, buckets).filter(F.col("_before") < F.col(quota))
-    w = Window.partitionBy(*by, "_bucket").orderBy("_key", id_col)
-    cut = placed.withColumn("_pos", F.row_number().over(w)).filter(F.col("_before") + F.col("_pos") <= F.col(quota))
+    placed = _bucketed(df, by, id_col, seed, size).filter(F.col("_before") < F.col(quota))
+    pos = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("_key", id_col))
+    cut = placed.withColumn("_pos", pos).filter(F.col("_before") + F.col("_pos") <= F.col(quota))
     return cut.drop("_key", "_bucket", "_before", "_pos")
 
 
-def _join_offsets(keyed: DataFrame, by: list[str], buckets: int) -> DataFrame:
-    """Add `_before`, the number of rows in earlier buckets of the group."""
-    sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_count"))
-    # At most `buckets` rows per group.
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    w = w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_count").over(w), F.lit(0)))
-    return keyed.join(sizes.drop("_count"), [*by, "_bucket"])
+def _bucketed(df: DataFrame, by: list[str], id_col: str, seed, size: str | None = None) -> DataFrame:
+    """Add the random key, its bucket and `_before`, the number of rows in earlier buckets of the group."""
+    if size is not None:
+        sized = df.withColumn("_n", F.col(size))
+    elif by:
+        sized = df.join(df.groupBy(*by).agg(F.count("*").alias("_n")), by)
+    else:
+        sized = df.withColumn("_n", df.agg(F.count("*").alias("n")).scalar())
+    keyed = sized.withColumn("_key", random_key(id_col, seed))
+    keyed = keyed.withColumn("_bucket", key_bucket(F.col("_key"), F.ceil(F.col("_n") / ROWS_PER_BUCKET))).drop("_n")
+    counts = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_count"))
+    # One row per bucket.
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before"))
+    return keyed.join(offsets, [*by, "_bucket"])
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int,

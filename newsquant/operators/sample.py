@@ -34,8 +34,8 @@ def sample_proportional(df: DataFrame, n: int, seed: int = 0, day: str = "pub_da
         F.sum("_spare").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     extra = F.greatest(F.least(F.col("_spare"), left - before), F.lit(0))
-    quotas = quotas.select(day, (F.col("_floor") + extra).alias("_quota")).filter(F.col("_quota") > 0)
-    return keyed_first(df.join(quotas, day), [day], id_col, "_quota", seed).drop("_quota")
+    quotas = quotas.select(day, "n_day", (F.col("_floor") + extra).alias("_quota")).filter(F.col("_quota") > 0)
+    return keyed_first(df.join(quotas, day), [day], id_col, "_quota", seed, "n_day").drop("_quota", "n_day")
 
 
 def bootstrap(df: DataFrame, n: int, seed: int = 0, id_col: str = "event_id") -> DataFrame:

@@ -23,9 +23,16 @@ def day_summary(assigned: DataFrame, k: int | str, zero_fill: bool = True, day:
     from that small result.
     """
     keys = [day] if isinstance(k, int) else [k, day]
-    count = F.lit(k) if isinstance(k, int) else F.col(k)
     sums = [F.sum(F.col(m).cast("double")).alias(m) for m in measures]
     cells = assigned.groupBy(*keys, "cluster_id").agg(*sums, F.count("*").alias("events"))
+    return summarise_cells(cells, k, zero_fill, day, measures)
+
+
+def summarise_cells(cells: DataFrame, k: int | str, zero_fill: bool = True, day: str = "pub_day",
+                    measures: Sequence[str] = tuple(IMPORTANCE)) -> DataFrame:
+    """`day_summary` from finished sums and `events` per (day, cluster)."""
+    keys = [day] if isinstance(k, int) else [k, day]
+    count = F.lit(k) if isinstance(k, int) else F.col(k)
     # One array per day (at most K cells) gives the total and the empty clusters without a join.
     values = F.struct(*measures, "events")
     listed = F.collect_list(F.struct(F.col("cluster_id").alias("id"), values.alias("v"))).alias("cells")
