@@ -113,7 +113,7 @@ def vif(df: DataFrame, columns: Sequence[str], threshold: float | None = None) -
     r = np.eye(p)
     for (i, j), v in zip(pairs, got):
         r[i, j] = r[j, i] = v
-    values = np.diag(np.linalg.pinv(r))
+    values = np.diag(np.linalg.inv(r + 1e-12 * np.eye(p)))  # stays finite for exact collinearity
     table = [(c, float(v), bool(threshold is not None and v > threshold)) for c, v in zip(columns, values)]
     return df.sparkSession.createDataFrame(table, "column string, vif double, drop boolean")
 
