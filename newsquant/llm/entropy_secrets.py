@@ -1,0 +1,171 @@
+"""Secret scan: fixed patterns plus sliding-window entropy (native expressions only).
+
+Spans are code-point offsets, end exclusive. Patterns report leftmost
+non-overlapping matches. The entropy part takes runs of key characters with a
+letter and a digit, slides a window over each run, keeps the character counts
+and their sum of n*log2(n) up to date by one character in and one out, and
+reports the stretch of windows whose entropy reaches the threshold of the
+run's character class. Runs on the allow list and runs that a pattern already
+reports are left out.
+
+Defined results: a null or empty text has no spans and the digest of the empty
+string; equal rows give equal results; other columns are untouched.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsquant.llm.common import let, read, text_of
+
+KINDS = ["assign", "access", "hex", "entropy"]
+_OPEN, _SHUT, _OTHER = "\ue000", "\ue001", "\ue002"
+
+ASSIGN = ("(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+ACCESS = "AKIA[A-Z0-9]{14,}"
+HEX = "(?<![0-9a-f])[0-9a-f]{16,}"
+RUN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+
+WINDOW = 20
+#: Bits per character a window must reach, by class: 16 symbols, letters and digits.
+THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
+
+#: Strings that look random and are public: hyphenated UUIDs, documented sample keys, inline data headers.
+ALLOWED = [
+    "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    "EXAMPLE",
+    "^(sha1|sha256|sha384|sha512|md5)-",
+]
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Array of (start, end, found): each match is fenced by private-use marks, then offsets are summed."""
+    plain = F.regexp_replace(text, f"[{_OPEN}{_SHUT}]", _OTHER)
+    parts = F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_SHUT}"), f"[{_OPEN}{_SHUT}]")
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(part)
+        span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("found"))
+        return F.struct(
+            end.alias("at"), (~acc["inside"]).alias("inside"),
+            F.when(acc["inside"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(parts, state, step, lambda acc: acc["out"])
+
+
+def _only(text: Column, hint: Column, pattern: str) -> Column:
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    return F.when(hint, matches(text, pattern)).otherwise(none)
+
+
+def hot_stretch(run: Column) -> Column:
+    """(first, last) window start of at least the class's entropy, null if there is none."""
+    xlogx = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(WINDOW + 1)])
+    total = math.log2(WINDOW)
+    least = F.when(run.rlike("^[0-9a-fA-F]+$"), F.lit(THRESHOLDS["hex"])).otherwise(F.lit(THRESHOLDS["mixed"]))
+
+    def slide(chars: Column, letters: Column, limit: Column) -> Column:
+        code = F.transform(chars, lambda c: F.array_position(letters, c).cast("int") - 1)
+
+        def fold(codes: Column) -> Column:
+            first = F.slice(codes, 1, WINDOW)
+            counts = F.transform(F.sequence(F.lit(0), F.size(letters) - 1),
+                                 lambda j: F.size(F.filter(first, lambda c: c == j)))
+            bits = F.aggregate(counts, F.lit(0.0), lambda s, n: s + F.get(xlogx, n))
+            hit0 = bits <= (F.lit(total) - limit) * WINDOW
+            start = F.struct(
+                counts.alias("n"), bits.alias("s"),
+                F.when(hit0, F.lit(0)).alias("first"), F.when(hit0, F.lit(0)).alias("last"))
+
+            def step(acc: Column, i: Column) -> Column:
+                gone, come = F.get(codes, i - 1), F.get(codes, i + (WINDOW - 1))
+                a, b = F.get(acc["n"], gone), F.get(acc["n"], come)
+                moved = F.when(gone == come, acc["s"]).otherwise(
+                    acc["s"] - F.get(xlogx, a) + F.get(xlogx, a - 1) - F.get(xlogx, b) + F.get(xlogx, b + 1))
+                counts1 = F.transform(acc["n"], lambda n, j: n - (j == gone).cast("int") + (j == come).cast("int"))
+                return let(moved, lambda s: F.struct(
+                    counts1.alias("n"), s.alias("s"),
+                    F.coalesce(acc["first"], F.when(s <= (F.lit(total) - limit) * WINDOW, i)).alias("first"),
+                    F.when(s <= (F.lit(total) - limit) * WINDOW, i).otherwise(acc["last"]).alias("last")))
+
+            places = F.filter(F.sequence(F.lit(0), F.size(codes) - WINDOW), lambda i: i > 0)
+            return F.aggregate(places, start, step, lambda acc: F.struct(acc["first"], acc["last"]))
+
+        return let(code, fold)
+
+    return let(F.array_remove(F.split(run, ""), ""),
+               lambda chars: let(F.array_distinct(chars), lambda letters: slide(chars, letters, least)))
+
+
+def spans(text: Column) -> Column:
+    """Array of (start, rank, kind, end) over all kinds, in order."""
+
+    def of(t: Column) -> Column:
+        assign = F.filter(
+            _only(t, t.rlike("[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]{12}"), ASSIGN),
+            lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 12)
+        access = _only(t, t.contains("AKIA"), ACCESS)
+        hexed = _only(t, t.rlike(HEX), HEX)
+
+        def tag(found: Column, rank: int) -> Column:
+            return F.transform(found, lambda m: F.struct(
+                m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), m["end"].alias("end")))
+
+        def with_entropy(base: Column) -> Column:
+            runs = F.filter(_only(t, t.rlike(RUN), RUN), lambda m: (
+                m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]")
+                & ~m["found"].rlike("|".join(f"(?:{a})" for a in ALLOWED))
+                & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+            found = F.transform(runs, lambda m: let(hot_stretch(m["found"]), lambda h: F.struct(
+                (m["start"] + h["first"]).alias("start"), F.lit(3).alias("rank"), F.lit(KINDS[3]).alias("kind"),
+                (m["start"] + h["last"] + WINDOW).alias("end"))))
+            return F.sort_array(F.concat(base, F.filter(found, lambda m: m["start"].isNotNull())))
+
+        return let(F.concat(tag(assign, 0), tag(access, 1), tag(hexed, 2)), with_entropy)
+
+    return let(text, of)
+
+
+def joined(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda m: F.concat_ws(":", m["kind"], m["start"], m["end"])), ",")
+
+
+def masked(text: Column, found: Column) -> Column:
+    """The text with every span replaced by `<kind>`; of overlapping spans the first names the mask."""
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, m: Column) -> Column:
+        before = F.substring(text, acc["at"] + 1, F.greatest(m["start"] - acc["at"], F.lit(0)))
+        piece = F.when(m["start"] >= acc["at"], F.concat(before, F.lit("<"), m["kind"], F.lit(">"))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    def close(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+
+    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, state, step, close))
+
+
+def secret_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read(spark, sf_dir, "documents").select("doc_id", spans(text_of("text")).alias("found"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("found", lambda m: m["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("found", lambda m: m["kind"] != "entropy")
+    return found.select(
+        "doc_id", *map(number, KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"), number(KINDS[3]))
+
+
+def mask_secrets(docs: DataFrame) -> DataFrame:
+    """Documents with secrets masked; `n_chars`, where present, follows the text; null texts stay null."""
+    found = docs.withColumn("__found", spans(text_of("text")))
+    out = found.withColumn("text", F.when(F.size("__found") == 0, F.col("text")).otherwise(masked(text_of("text"), F.col("__found"))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("__found") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+    return out.drop("__found")
