@@ -10,10 +10,12 @@ from newsquant.llm.chat_events import chat_rows
 from newsquant.llm.decision_lists import quality_rows
 from newsquant.llm.entropy_secrets import secret_rows
 from newsquant.llm.simhash_slices import simhash_rows
+from newsquant.llm.template_leaks import leak_rows
 from newsquant.llm.token_counts import token_rows
 from newsquant.llm.warc_zstd import warc_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_template_leaks": leak_rows,
     "op3_token_counts": token_rows,
     "op4_decision_lists": quality_rows,
     "op6_warc_zstd": warc_rows,
