@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from newsquant.llm.chat_events import chat_rows
 from newsquant.llm.decision_lists import quality_rows
 from newsquant.llm.entropy_secrets import secret_rows
+from newsquant.llm.piece_lattice import piece_rows
 from newsquant.llm.simhash_slices import simhash_rows
 from newsquant.llm.template_leaks import leak_rows
 from newsquant.llm.token_counts import token_rows
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_template_leaks": leak_rows,
     "op3_token_counts": token_rows,
     "op4_decision_lists": quality_rows,
+    "op5_piece_lattice": piece_rows,
     "op6_warc_zstd": warc_rows,
     "op7_chat_events": chat_rows,
     "op8_entropy_secrets": secret_rows,
