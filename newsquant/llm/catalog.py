@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from newsquant.llm.chat_events import chat_rows
 from newsquant.llm.decision_lists import quality_rows
 from newsquant.llm.entropy_secrets import secret_rows
+from newsquant.llm.lpf_dedup import repeat_rows
 from newsquant.llm.piece_lattice import piece_rows
 from newsquant.llm.simhash_slices import simhash_rows
 from newsquant.llm.template_leaks import leak_rows
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_zstd": warc_rows,
     "op7_chat_events": chat_rows,
     "op8_entropy_secrets": secret_rows,
+    "op9_lpf_dedup": repeat_rows,
     "op10_simhash_slices": simhash_rows,
 }
 
