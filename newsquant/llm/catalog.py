@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsquant.llm.chat_events import chat_rows
+from newsquant.llm.context_mixing import lm_rows
 from newsquant.llm.decision_lists import quality_rows
 from newsquant.llm.entropy_secrets import secret_rows
 from newsquant.llm.lpf_dedup import repeat_rows
@@ -17,6 +18,7 @@ from newsquant.llm.token_counts import token_rows
 from newsquant.llm.warc_zstd import warc_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_context_mixing": lm_rows,
     "op2_template_leaks": leak_rows,
     "op3_token_counts": token_rows,
     "op4_decision_lists": quality_rows,
