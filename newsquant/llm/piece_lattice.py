@@ -92,7 +92,8 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     size = F.length("unit")
     spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda a: F.transform(
         F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - a)), lambda n: F.struct(a.alias("a"), n.alias("n")))))
-    parts = words.select("unit", F.explode(spans).alias("s")).select(
+    # the outer form, as no unit is empty: a plain explode would make Spark build the array twice
+    parts = words.select("unit", F.explode_outer(spans).alias("s")).select(
         "unit", F.col("s.a").alias("a"), F.col("s.n").alias("n"), F.substring("unit", F.col("s.a") + 1, F.col("s.n")).alias("piece"))
     if len(pieces.rows) > 1 << 20:
         raise ValueError("piece table too large to broadcast")
