@@ -56,10 +56,18 @@ def impact_cells(df: DataFrame, countries: Sequence[str], kind: str = "h3", type
 
 def impact_pivot(df: DataFrame, countries: Sequence[str], names: Sequence[str], kind: str = "h3",
                  day: str = "sqldate", **types) -> DataFrame:
-    """One column per name, 0 where a day has no such impact. Explicit names, so no extra scan."""
+    """One column per name, 0 where a day has no such impact; `impact_names` over `data_codes` covers all impact."""
     cells = impact_cells(df, countries, kind, day=day, **types)
     return cells.groupBy(day).pivot("name", list(names)).agg(F.sum("impact")).fillna(0.0)
 
 
+def data_codes(df: DataFrame, columns: Sequence[str], max_codes: int = 4096) -> list[str]:
+    """The type codes that occur in the data, sorted; more than `max_codes` raise, as each becomes several columns."""
+    rows = type_vocab(df, columns).limit(max_codes + 1).collect()
+    if len(rows) > max_codes:
+        raise ValueError(f"more than {max_codes} type codes")
+    return sorted(r["code"] for r in rows)
+
+
 def impact_names(countries: Sequence[str], codes: Sequence[str]) -> list[str]:
     return [f"{c}_{t or 'empty'}_{s}" for c in countries for t in ["", *codes] for s in ("pos", "neg")]

@@ -195,16 +195,26 @@ for _i in (1, 2, 3):
           f"SELECT sqldate, name, ROUND(impact, 5) AS impact FROM ({_cells_sql(_i)}) q")(_impact_cells(f"h{_i}"))
 
 
-# Type codes that occur in the tables; the pivot takes an explicit list.
-PIVOT_CODES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "AUTOMOBILE", "BUILDING", "ECONOMY", "FURNITURE", "PROMO", "STANDARD"]
-_NAMES = impact.impact_names(COUNTRIES, PIVOT_CODES)
+# Type codes of the tables, for the check only: the query takes them from the data, so a code missing here is a failure.
+CHECKED_CODES = [
+    "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD",
+    "MACHINERY", "ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD",
+]
+_NAMES = impact.impact_names(COUNTRIES, CHECKED_CODES)
+
+
+def impact_wide(spark, sf_dir):
+    """Names of all (country, code, sign) columns and the pivot over them."""
+    df = _impact_input(spark, sf_dir)
+    names = impact.impact_names(COUNTRIES, impact.data_codes(df, [*TYPES1, *TYPES2]))
+    return names, impact.impact_pivot(df, COUNTRIES, names, "h3", types1=TYPES1, types2=TYPES2)
 
 
 @query("impact_pivot", "news", IMPACT_SQL + f",\ncells AS ({_cells_sql(3)})", "SELECT sqldate, " + ", ".join(
     f"ROUND(COALESCE(SUM(impact) FILTER (name = '{n}'), 0), 5) AS \"{n}\"" for n in _NAMES) + " FROM cells GROUP BY 1")
 def impact_pivot(spark, sf_dir):
-    wide = impact.impact_pivot(_impact_input(spark, sf_dir), COUNTRIES, _NAMES, "h3", types1=TYPES1, types2=TYPES2)
-    return wide.select("sqldate", *[F.round(F.col(f"`{n}`"), 5).alias(n) for n in _NAMES])
+    names, wide = impact_wide(spark, sf_dir)
+    return wide.select("sqldate", *[F.round(F.col(f"`{n}`"), 5).alias(n) for n in names])
 
 
 @query("type_vocab", "news", "", """

@@ -9,10 +9,10 @@ from newsquant.operators import autoreg, classify, clusters, dataset, encode, gr
 from newsquant.operators import regimes, series, summary
 from newsquant.operators import text as words
 from newsquant.plans import pipelines as pl
-from newsquant.plans.catalog.explore import COUNTRIES, IMPACT_SQL, TYPES1, TYPES2, _cells_sql, _impact_input
+from newsquant.plans.catalog.explore import COUNTRIES, IMPACT_SQL, TYPES1, TYPES2, _cells_sql, _impact_input, impact_wide
 from newsquant.plans.catalog.news import CLEAN_SQL
 from newsquant.plans.catalog.registry import query
-from newsquant.plans.catalog.text import english
+from newsquant.plans.catalog.text import MIN_COUNT, THRESHOLD, all_tokens
 from newsquant.session import cut_lineage
 from newsquant.sources import tables
 
@@ -212,8 +212,7 @@ def svm_grid(spark, sf_dir):
 
 def _impact_panel(spark, sf_dir):
     """Banded returns beside the day's impact per (country, type, sign)."""
-    names = impact.impact_names(COUNTRIES, ["1-URGENT", "2-HIGH", "AUTOMOBILE", "BUILDING"])
-    wide = impact.impact_pivot(_impact_input(spark, sf_dir), COUNTRIES, names, "h3", types1=TYPES1, types2=TYPES2)
+    names, wide = impact_wide(spark, sf_dir)
     renamed = wide.select(F.col("sqldate").alias("day"), *[F.col(f"`{n}`").alias(f"x{i}") for i, n in enumerate(names)])
     merged = dataset.merge_returns(series.simple_ret(tables.prices(spark, sf_dir)), renamed).filter(F.col("class").isNotNull())
     merged = merged.fillna(0.0, [f"x{i}" for i in range(len(names))])
@@ -237,8 +236,9 @@ def lasso_cv(spark, sf_dir):
 
 @query("word2vec")
 def word2vec(spark, sf_dir):
-    """Unit word vectors of the English documents."""
-    _, vectors = words.fit_word2vec(english(spark, sf_dir), dim=20)
+    """Unit word vectors of the documents' phrase-merged tokens; words seen once or twice have no vector."""
+    merged, _ = words.phrases(all_tokens(spark, sf_dir), MIN_COUNT, THRESHOLD)
+    _, vectors = words.fit_word2vec(merged, dim=100, min_count=3)
     return vectors.select("word", vector_to_array("vector").alias("vector"))
 
 
