@@ -137,10 +137,12 @@ def sparse_vectors(df: DataFrame, lay: Layout, out: str = "features", std: Seque
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, VectorAssembler
     from pyspark.ml.linalg import Vectors
 
-    words = [
-        F.when(F.col(r.name).between(1, r.size), (F.lit(slot) + F.col(r.name) - 1).cast("string"))
-        for r, slot in lay.categories
-    ]
+    def word(r, slot: int):
+        c = F.col(r.name)
+        beyond = F.raise_error(F.concat(F.lit(f"{r.name}: code past {r.size}: "), c.cast("string"))).cast("string")
+        return F.when(c.between(1, r.size), (F.lit(slot) + c - 1).cast("string")).when(c > r.size, beyond)
+
+    words = [word(r, slot) for r, slot in lay.categories]
     order = slot_order(lay)
     n_hot = len(order) - len(lay.numerics)
     hot = CountVectorizerModel.from_vocabulary([str(s) for s in order[:n_hot]], inputCol="_tokens", outputCol="_hot")

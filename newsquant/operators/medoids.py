@@ -74,8 +74,9 @@ def medoid_step(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC
     order = F.struct(F.col("total"), stay, F.col(id_col))
     best = costed.groupBy("cluster_id").agg(F.min(order).alias("m"), F.count("*").alias("size"))
     best = best.select("cluster_id", F.col("m").getField(id_col).alias(id_col), F.col("m.total").alias("total"), "size")
+    best = freeze(best)  # one row per cluster, so the events are only filtered by it, not shuffled
     rows = assigned.select(id_col, *numeric, *category)
-    return best.join(rows, id_col).select("cluster_id", id_col, *numeric, *category, "total", "size")
+    return rows.join(F.broadcast(best), id_col).select("cluster_id", id_col, *numeric, *category, "total", "size")
 
 
 def seed_medoids(events: DataFrame, k: int, order: str, numeric: Sequence[str] = tuple(MINI_NUMERIC),
@@ -96,7 +97,7 @@ def kmedoids(events: DataFrame, k: int, order: str, max_iter: int = 10, numeric:
     events = cut_lineage(events)
     medoids, history = seed_medoids(events, k, order, numeric, category, id_col), None
     for step in range(max_iter):
-        assigned = assign_mixed(events, medoids, numeric, category, id_col)
+        assigned = cut_lineage(assign_mixed(events, medoids, numeric, category, id_col))  # read three times below
         found = freeze(medoid_step(assigned, numeric, category, id_col, medoids))
         row = found.select(F.lit(step).alias("iteration"), "cluster_id", id_col, "total", "size")
         history = row if history is None else history.unionByName(row)

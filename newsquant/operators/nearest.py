@@ -50,25 +50,36 @@ def _gather_udf(spark, ids: np.ndarray, base: np.ndarray, tables: list[np.ndarra
 
     @F.pandas_udf(_RESULT)
     def nearest(codes: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, base, tables, centres, scale = shared.value
         for pdf in codes:
-            n_cat = len(tables)
-            cat = pdf.iloc[:, :n_cat].to_numpy(dtype=np.int64)
-            num = pdf.iloc[:, n_cat:].to_numpy(dtype=float)
-            label = np.empty(len(pdf), dtype=np.int64)
-            dist = np.empty(len(pdf))
-            for part in _scan(len(pdf), len(ids)):
-                d = np.repeat(base[None, :], len(cat[part]), axis=0)
-                for j, t in enumerate(tables):
-                    d += t[cat[part, j]]
-                for j in range(num.shape[1]):
-                    gap = num[part, j][:, None] / scale[j] - centres[:, j][None, :]
-                    d += gap * gap if squared else np.abs(gap)
-                label[part], dist[part] = _pick(d)
-            yield pd.DataFrame({"cluster_id": ids[label].astype("int32"),
+            label, dist = _gather(pdf, shared.value, squared)
+            yield pd.DataFrame({"cluster_id": shared.value[0][label].astype("int32"),
                                 "dist": np.sqrt(np.maximum(dist, 0)) if squared else dist})
 
-    return nearest
+    return once(nearest)
+
+
+def once(udf):
+    """Marked as not repeatable, so Spark computes it once per row instead of copying it into filters and joins."""
+    return udf.asNondeterministic()
+
+
+def _gather(pdf: pd.DataFrame, model: tuple, squared: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest centre and its distance (squared if asked) for coded rows."""
+    ids, base, tables, centres, scale = model
+    n_cat = len(tables)
+    cat = pdf.iloc[:, :n_cat].to_numpy(dtype=np.int64)
+    num = pdf.iloc[:, n_cat:].to_numpy(dtype=float)
+    label = np.empty(len(pdf), dtype=np.int64)
+    dist = np.empty(len(pdf))
+    for part in _scan(len(pdf), len(ids)):
+        d = np.repeat(base[None, :], len(cat[part]), axis=0)
+        for j, t in enumerate(tables):
+            d += t[cat[part, j]]
+        for j in range(num.shape[1]):
+            gap = num[part, j][:, None] / scale[j] - centres[:, j][None, :]
+            d += gap * gap if squared else np.abs(gap)
+        label[part], dist[part] = _pick(d)
+    return label, dist
 
 
 def assign_expanded(df: DataFrame, lay: Layout, stats: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -79,6 +90,13 @@ def assign_expanded(df: DataFrame, lay: Layout, stats: DataFrame, centroids: Dat
     built: |z - c|^2 is the distance of the all-zero event plus one table
     look-up per category, i.e. ten additions per centroid, not `width`.
     """
+    model = _expanded_model(lay, stats, centroids)
+    udf = _gather_udf(df.sparkSession, *model, squared=True)
+    return _with_result(df, udf(F.struct(*_expanded_inputs(lay))))
+
+
+def _expanded_model(lay: Layout, stats: DataFrame, centroids: DataFrame) -> tuple:
+    """(ids, base, tables, centres, scale) of a model over standardised one-hot slots."""
     stat = sorted(stats.collect(), key=lambda r: r["slot"])  # `width` rows
     mean, std = np.array([r["mean"] for r in stat]), np.array([r["std"] for r in stat])
     rows = model_rows(centroids, lay.width, "cluster_id")
@@ -94,12 +112,19 @@ def assign_expanded(df: DataFrame, lay: Layout, stats: DataFrame, centroids: Dat
         tables.append(np.vstack([np.zeros(len(c)), change.T]))  # row 0 = missing
     slots = [at for _, at in lay.numerics]
     centres = c[:, slots] + (mean / std)[slots]
-    udf = _gather_udf(df.sparkSession, ids, base, tables, centres, std[slots], squared=True)
-    inputs = [
-        F.when(F.col(r.name).between(1, r.size), F.col(r.name)).otherwise(0).cast("int").alias(r.name)
-        for r, _ in lay.categories
-    ] + [F.coalesce(F.col(r.name).cast("double"), F.lit(0.0)).alias(r.name) for r, _ in lay.numerics]
-    return _with_result(df, udf(F.struct(*inputs)))
+    return ids, base, tables, centres, std[slots]
+
+
+def _expanded_inputs(lay: Layout) -> list[Column]:
+    """Codes and numbers of an event; a code past its width is an error, as it would silently count as missing."""
+
+    def code(r) -> Column:
+        c = F.col(r.name)
+        beyond = F.raise_error(F.concat(F.lit(f"{r.name}: code past {r.size}: "), c.cast("string"))).cast("int")
+        return F.when(c.between(1, r.size), c).when(c > r.size, beyond).otherwise(0).cast("int").alias(r.name)
+
+    return [code(r) for r, _ in lay.categories] + [
+        F.coalesce(F.col(r.name).cast("double"), F.lit(0.0)).alias(r.name) for r, _ in lay.numerics]
 
 
 def assign_mixed(df: DataFrame, medoids: DataFrame, numeric=tuple(MINI_NUMERIC), category=tuple(MINI_CATEGORY),
@@ -152,7 +177,7 @@ def assign_dense(df: DataFrame, centroids: DataFrame, vector: str = "embedding")
                 dist[part] = np.sqrt(((p - c[label[part]]) ** 2).sum(axis=1))
             yield pd.DataFrame({"cluster_id": ids[label].astype("int32"), "dist": dist})
 
-    return _with_result(df, nearest(F.col(vector)))
+    return _with_result(df, once(nearest)(F.col(vector)))
 
 
 def _with_result(df: DataFrame, result: Column) -> DataFrame:
@@ -160,12 +185,23 @@ def _with_result(df: DataFrame, result: Column) -> DataFrame:
 
 
 def assign_models(df: DataFrame, lay: Layout, models: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Assign several models in one pass over the events: one row per (event, k) with `k`, `cluster_id`."""
-    out, found = df, []
-    for k, (stats, centroids) in models.items():
-        out = assign_expanded(out, lay, stats, centroids).drop("dist").withColumnRenamed("cluster_id", f"_c{k}")
-        found.append(F.struct(F.lit(k).alias("k"), F.col(f"_c{k}").alias("cluster_id")))
-    return out.select(*df.columns, F.explode(F.array(*found)).alias("_m")).select(*df.columns, "_m.*")
+    """Assign several models in one pass over the events: one row per (event, k) with `k`, `cluster_id`.
+
+    One function takes the event to Python once and returns its cluster under every model.
+    """
+    ks = list(models)
+    shared = df.sparkSession.sparkContext.broadcast([_expanded_model(lay, *models[k]) for k in ks])
+
+    @F.pandas_udf("array<int>")
+    def all_nearest(codes: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for pdf in codes:
+            found = [m[0][_gather(pdf, m, True)[0]].astype("int32") for m in shared.value]
+            yield pd.Series(list(np.stack(found, axis=1)))
+
+    out = df.withColumn("_near", once(all_nearest)(F.struct(*_expanded_inputs(lay))))
+    numbered = out.select(*df.columns, F.posexplode("_near").alias("_i", "cluster_id"))
+    k = F.get(F.array(*map(F.lit, ks)), F.col("_i"))
+    return numbered.select(*df.columns, k.alias("k"), "cluster_id")
 
 
 def freeze(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:

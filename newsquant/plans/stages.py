@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from newsquant.operators import clean, clusters, encode, nearest, sample, summary
 from newsquant.session import build_session
@@ -26,16 +27,26 @@ def prepare(spark: SparkSession, raw: str, out: str, symbol: str = "EVERYTHING",
     """Clean the events of a day range and land them by day.
 
     Dictionaries are text files with one code per line; without a file the
-    codes come from the data.
+    codes come from the data of the first range (both actors' countries) and
+    are saved beside `out`, so that later ranges use the same numbers.
     """
     typed = clean.normalise_events(read_events(spark, raw, lo, hi))
 
-    def codes(path: str | None, column: str) -> DataFrame:
-        if path is None:
-            return clean.vocab(typed, column)
-        return clean.vocab(spark.read.text(path).select(F.trim("value").alias(column)), column)
-
-    df = clean.clean_events(typed, codes(event_codes, "event_code"), codes(country_codes, "actor1_country"), symbol=symbol)
+    def codes(path: str | None, name: str, columns: Sequence[str]) -> DataFrame:
+        if path is not None:
+            return clean.vocab(spark.read.text(path).select(F.trim("value").alias(name)), name)
+        saved = f"{out.rstrip('/')}.codes/{name}"
+        try:
+            return spark.read.parquet(saved)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        values = typed.select(F.explode(F.array(*columns)).alias(name))
+        clean.vocab(values, name).coalesce(1).write.parquet(saved)
+        return spark.read.parquet(saved)
+
+    countries = codes(country_codes, "country", ["actor1_country", "actor2_country"])
+    df = clean.clean_events(typed, codes(event_codes, "event_code", ["event_code"]), countries, symbol=symbol)
     write_stage(df, out)
 
 
@@ -67,7 +78,7 @@ def summarise(spark: SparkSession, cleaned: str, models: str, out: str, lo: str
     saved = {k: (stats, centroids.filter(F.col("k") == k).select("cluster_id", "centroid")) for k in ks}
     events = day_range(spark.read.parquet(cleaned), lo, hi)
     assigned = nearest.assign_models(events, encode.layout(), saved)
-    write_stage(summary.day_summary(assigned, "k"), out, ("k",))
+    write_stage(summary.day_summary(assigned, "k"), out, ("k", "pub_day"))
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -45,13 +45,13 @@ def union_files(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_stage(df: DataFrame, path: str, by: tuple[str, ...] = ("pub_day",), mode: str = "overwrite") -> None:
-    """Parquet partitioned by day (and K for summaries).
+    """Parquet partitioned by day (and K for summaries); only the partitions written now are replaced.
 
     Each day is spread over as many tasks as its rows need: the extra
     shuffle-free write keeps the input's partitions, so a hot day never
     ends up in one task.
     """
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def read_matrix(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 """The whole chain on tiny raw files, and the plans Spark makes for it."""
 
+from pyspark.sql import functions as F
+
 from newsquant.operators import sample
 from newsquant.plans import stages
 from newsquant.sources import tables
@@ -45,3 +47,49 @@ def test_queries_have_no_cross_joins_on_events(spark):
 
     text = plan(pipelines.cleaned_news(spark, SF)).split("== Physical Plan ==")[1]
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_another_day_range_keeps_days_and_codes(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for day, codes in (("20150101", ["01", "03"]), ("20150102", ["03", "01", "03"])):
+        write_day(raw, day, [event_line(**{
+            **FULL, "GlobalEventID": f"{day}{i}", "EventCode": c, "Actor1CountryCode": "USA", "Actor2CountryCode": "CHN"})
+            for i, c in enumerate(codes)])
+    cleaned = str(tmp_path / "cleaned")
+    stages.prepare(spark, str(raw), cleaned, lo="2015-01-01", hi="2015-01-01")
+    first = {r.event_id: (r.code_full, r.country1, r.country2) for r in spark.read.parquet(cleaned).collect()}
+    stages.prepare(spark, str(raw), cleaned, lo="2015-01-02", hi="2015-01-02")
+    both = {r.event_id: (r.code_full, r.country1, r.country2) for r in spark.read.parquet(cleaned).collect()}
+    assert len(first) == 2 and len(both) == 5 and first.items() <= both.items()
+    # a country that only the second actor has is coded too, and codes keep their numbers
+    assert set(both.values()) == {(1, 2, 1), (2, 2, 1)}
+    assert both["201501020"][0] == both["201501011"][0]
+
+
+def test_codes_past_the_width_are_an_error(spark):
+    import pytest
+
+    from newsquant.operators import encode, nearest
+
+    lay = encode.layout()
+    row = {r.name: (r.size + 1 if r.name == "code_full" else 1) for r, _ in lay.categories} | {r.name: 0.0 for r, _ in lay.numerics}
+    df = spark.createDataFrame([row])
+    with pytest.raises(Exception, match="code past"):
+        df.select(*nearest._expanded_inputs(lay)).collect()
+
+
+def test_several_models_take_one_pass(spark):
+    from newsquant.operators import encode, nearest
+
+    lay = encode.layout()
+    stats = spark.createDataFrame([(i, 0.0, 1.0) for i in range(lay.width)], "slot int, mean double, std double")
+    rows = [{r.name: 1 + i for r, _ in lay.categories} | {r.name: float(i) for r, _ in lay.numerics} for i in range(4)]
+    df = spark.createDataFrame(rows)
+    centre = [[float((j * 7 + i) % 3) for j in range(lay.width)] for i in range(3)]
+    models = {k: (stats, spark.createDataFrame([(i, centre[i]) for i in range(k)], "cluster_id int, centroid array<double>")) for k in (1, 2, 3)}
+    out = nearest.assign_models(df, lay, models)
+    assert plan(out).split("== Physical Plan ==")[1].count("ArrowEvalPython [") == 1
+    one = {k: sorted(map(tuple, nearest.assign_expanded(df, lay, *models[k]).drop("dist").collect())) for k in models}
+    got = {k: sorted(map(tuple, out.filter(F.col("k") == k).drop("k").collect())) for k in models}
+    assert got == one
