@@ -114,7 +114,8 @@ def kernel_features(df: DataFrame, kernel: str, features: str = "features", out:
         def project(x):
             return np.sqrt(2 / size) * np.cos(x @ w + b)
     elif kernel == "sigmoid":
-        marks = df.select(features).orderBy(F.xxhash64(vector_to_array(features)), vector_to_array(features)).limit(size)
+        own = df.filter(F.col("split") == "train") if "split" in df.columns else df
+        marks = own.select(features).orderBy(F.xxhash64(vector_to_array(features)), vector_to_array(features)).limit(size)
         landmarks = np.array([r[0].toArray() for r in marks.collect()])
         gram = np.tanh(gamma * landmarks @ landmarks.T)
         u, s, _ = np.linalg.svd(gram)

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsquant.functions.finance import ci_to_var, kelly_fraction, lognormal_var, simple_return
 
@@ -18,7 +16,7 @@ def price_moments(df: DataFrame, mean: str = "mean", hi: str = "hi", lo: str = "
     return df.withColumns({"expected": simple_return(mean), "variance": lognormal_var(mean, var)})
 
 
-def kelly(df: DataFrame, capital: float = 15.0, r: float | None = 0.0, method: str = "product",
+def kelly(df: DataFrame, capital: float = 15.0, r: float | None = 0.0, method: str = "fold",
           key: Sequence[str] = ("symbol",), day: str = "day", price: str = "price") -> DataFrame:
     """Wealth before each day's trade, from `expected`, `variance` and a price.
 
@@ -26,9 +24,10 @@ def kelly(df: DataFrame, capital: float = 15.0, r: float | None = 0.0, method: s
     borrowed cash (f > 1) grows by the rate. `r=None` reads the rate from a
     column `r`. Adds `fraction` and `wealth`, plus a step-0 row per portfolio.
 
-    'product' multiplies the step factors in a window and holds while wealth
-    stays positive; 'fold' carries (money, units) and holds always. Either way
-    a portfolio has one row per calendar day.
+    'fold' carries (wealth, money, units) over the portfolio's days and always
+    holds. 'product' multiplies the step factors in a window; it is right only
+    while wealth stays positive and raises where it does not. Either way a
+    portfolio has one row per calendar day.
     """
     key = list(key)
     rate = F.col("r") if r is None else F.lit(float(r))
@@ -44,7 +43,8 @@ def kelly(df: DataFrame, capital: float = 15.0, r: float | None = 0.0, method: s
         past = group.rowsBetween(Window.unboundedPreceding, -1)
         walked = numbered.withColumn("_factor", factor)
         walked = walked.withColumn("wealth", capital * F.coalesce(F.product("_factor").over(past), F.lit(1.0)))
-        walked = walked.drop("_factor")
+        lost = F.raise_error(F.lit("wealth is not positive: use method='fold'")).cast("double")
+        walked = walked.withColumn("wealth", F.when(F.col("wealth") > 0, F.col("wealth")).otherwise(lost)).drop("_factor")
     else:
         walked = _fold(numbered, capital, key, price)
     first = walked.filter(F.col("step") == 1).withColumns({"step": F.lit(0), "fraction": F.lit(0.0)})
@@ -52,22 +52,23 @@ def kelly(df: DataFrame, capital: float = 15.0, r: float | None = 0.0, method: s
 
 
 def _fold(numbered: DataFrame, capital: float, key: list[str], price: str) -> DataFrame:
-    schema = T.StructType([*numbered.schema.fields, T.StructField("wealth", T.DoubleType())])
-    names = schema.names
+    """Wealth day by day: one array per portfolio, at most a calendar long, folded in the JVM."""
+    rest = [c for c in numbered.columns if c not in (*key, "r")]
+    day = F.struct("step", *[c for c in rest if c != "step"])
+    paths = numbered.groupBy(*key, "r").agg(F.sort_array(F.collect_list(day)).alias("days"))
+    start = F.struct(F.lit(float(capital)).alias("money"), F.lit(0.0).alias("units"), F.array().cast("array<double>").alias("path"))
 
-    def trade(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        money, units, path = capital, 0.0, []
-        for p, f, r in zip(pdf[price], pdf["fraction"], pdf["r"]):
-            wealth = money + units * p
-            path.append(wealth)
-            units = f * wealth / p
-            money = wealth - f * wealth
-            if money < 0:
-                money *= 1 + r
-        return pdf.assign(wealth=path)[names]
+    def trade(acc, d):
+        wealth = acc["money"] + acc["units"] * d[price]
+        left = wealth - d["fraction"] * wealth
+        return F.struct(
+            (left * F.when(left < 0, 1 + F.col("r")).otherwise(1.0)).alias("money"),
+            (d["fraction"] * wealth / d[price]).alias("units"), F.concat(acc["path"], F.array(wealth)).alias("path"))
 
-    return numbered.groupBy(*key, "r").applyInPandas(trade, schema)
+    wealth = F.aggregate("days", start, trade, lambda acc: acc["path"])
+    each = paths.select(*key, "r", F.explode(F.arrays_zip(F.col("days").alias("day"), wealth.alias("wealth"))).alias("x"))
+    return each.select(*key, "r", *[F.col(f"x.day.{c}").alias(c) for c in rest], F.col("x.wealth").alias("wealth")).select(
+        *numbered.columns, "wealth")
 
 
 def kelly_metrics(path: DataFrame, capital: float = 15.0, key: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -79,7 +80,7 @@ def kelly_metrics(path: DataFrame, capital: float = 15.0, key: Sequence[str] = (
     )
 
 
-def kelly_sweep(df: DataFrame, rates: Sequence[float], capital: float = 15.0, method: str = "product",
+def kelly_sweep(df: DataFrame, rates: Sequence[float], capital: float = 15.0, method: str = "fold",
                 key: Sequence[str] = ("symbol",)) -> DataFrame:
     """Metrics for every rate, all portfolios in one job."""
     grid = df.withColumn("r", F.explode(F.array(*[F.lit(float(x)) for x in rates])))

@@ -317,3 +317,38 @@ def test_lloyd_and_pack(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 6.0])], "cluster_id int, embedding array<double>")
     packed = {r["cluster_id"]: r["centroid"] for r in clusters.pack_centroids(clusters.lloyd_step(df)).collect()}
     assert packed == {0: [2.0, 3.0], 1: [5.0, 6.0]}
+
+
+def test_impact_pivot_keeps_all_impact(spark):
+    from newsquant.operators import impact
+    from newsquant.plans.catalog.explore import COUNTRIES, TYPES1, TYPES2, _impact_input, impact_wide
+
+    names, wide = impact_wide(spark, "/root/testdata/sf0.001")
+    long = impact.impact_cells(_impact_input(spark, "/root/testdata/sf0.001"), COUNTRIES, "h3", TYPES1, TYPES2)
+    want = {r["sqldate"]: r["s"] for r in long.groupBy("sqldate").agg(F.sum("impact").alias("s")).collect()}
+    got = {r["sqldate"]: sum(r[n] for n in names) for r in wide.collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
+def test_kelly_methods_agree_until_wealth_is_lost(spark):
+    import pytest
+
+    from newsquant.operators import trading
+
+    rows = [("a", d, 10.0 + d % 3, 0.02 * (d % 2), 0.01) for d in range(8)] + [("b", d, 20.0 - d, 0.3, 0.1) for d in range(6)]
+    df = spark.createDataFrame(rows, "symbol string, day int, price double, expected double, variance double")
+    fold = {(r.symbol, r.step): r.wealth for r in trading.kelly(df, r=0.05).collect()}
+    money, units, want = 15.0, 0.0, []
+    for d in range(6):
+        p, e, v = rows[8 + d][2:]
+        wealth = money + units * p
+        f = max(abs(e) - 0.05, 0) / v
+        want.append(wealth)
+        units, money = f * wealth / p, wealth - f * wealth
+        money *= 1.05 if money < 0 else 1
+    assert [round(fold["b", s + 1], 9) for s in range(6)] == [round(w, 9) for w in want]
+    product = {(r.symbol, r.step): r.wealth for r in trading.kelly(df.filter("symbol = 'a'"), r=0.05, method="product").collect()}
+    assert all(abs(product[k] - fold[k]) < 1e-9 for k in product)
+    down = df.withColumn("expected", F.lit(-9.0)).withColumn("price", F.col("price") * (1 + F.col("day")))
+    with pytest.raises(Exception, match="wealth is not positive"):
+        trading.kelly(down, r=0.05, method="product").collect()
