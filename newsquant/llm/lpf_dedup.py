@@ -47,6 +47,8 @@ LENGTH, GRAM = 50, 16
 PASS_BYTES, HELD, SPLIT = 1 << 20, 2_000_000, 20_000
 _U = np.uint64
 _MIX, _MIX2, _BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0x2545F4914F6CDD1D)
+#: Undoes a factor of _BASE, so that a hash does not depend on where in the pass its bytes lie.
+_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _WIDTH = {"anchor": 4, "stretch": 6, "doc": 8, "copy": 4, "at": 4, "n": 1}
 
 
@@ -85,11 +87,12 @@ def stretches(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         return none, none, none, none.view(_U), none.view(_U)
     ends = np.flatnonzero(np.r_[new, True] | np.r_[~inside, True])
     n = ends[np.searchsorted(ends, first, "right")] - first
-    power = np.multiply.accumulate(np.r_[_U(1), np.full(len(text), _BASE)])
-    value = _mix((text.astype(_U) + _U(17)) * _MIX) * power[:len(text)]
+    power = np.multiply.accumulate(np.r_[_U(1), np.full(len(text) - 1, _BASE)])
+    back = np.multiply.accumulate(np.r_[_U(1), np.full(len(text) - 1, _INVERSE)])
+    value = _mix((text.astype(_U) + _U(17)) * _MIX) * power
     total = np.r_[_U(0), np.cumsum(value, dtype=_U)]
     last = first + n - 1 + LENGTH
-    stretch = _mix((total[last] - total[first]) * power[len(text) - first] + n.astype(_U))
+    stretch = _mix((total[last] - total[first]) * back[first] + n.astype(_U))
     return doc[first], first - bounds[:-1][doc[first]], n, gram[anchor[first]], stretch
 
 

@@ -75,6 +75,16 @@ def test_small_buffers_change_nothing(monkeypatch):
     assert sorted(seen) == list(range(len(text) - 49))
 
 
+def test_hashes_do_not_depend_on_the_place():
+    rng = random.Random(6)
+    own, before = prose(rng, 60).encode(), prose(rng, 90).encode()
+    alone = ld.stretches(np.frombuffer(own, np.uint8), np.array([0, len(own)]))
+    text = before + own + before
+    within = ld.stretches(np.frombuffer(text, np.uint8), np.array([0, len(before), len(before) + len(own), len(text)]))
+    of = within[0] == 1
+    assert of.sum() == len(alone[0]) and all((a == b[of]).all() for a, b in zip(alone[1:], within[1:], strict=True))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=40))
 def test_previous_smaller(values):
