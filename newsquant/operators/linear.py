@@ -106,13 +106,13 @@ def gaussian_glm(df: DataFrame, features: Sequence[str], label: str) -> DataFram
 
 def vif(df: DataFrame, columns: Sequence[str], threshold: float | None = None) -> DataFrame:
     """Variance inflation factors: diagonal of the inverse correlation matrix; `drop` marks large ones."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
     p = len(columns)
     rows = df.dropna(subset=list(columns))
-    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    got = rows.agg(*[F.corr(columns[i], columns[j]) for i, j in pairs]).first()
-    r = np.eye(p)
-    for (i, j), v in zip(pairs, got):
-        r[i, j] = r[j, i] = v
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_all").transform(rows).select("_all")
+    r = Correlation.corr(vectors, "_all").first()[0].toArray()  # one pass, p x p numbers
     values = np.diag(np.linalg.inv(r + 1e-12 * np.eye(p)))  # stays finite for exact collinearity
     table = [(c, float(v), bool(threshold is not None and v > threshold)) for c, v in zip(columns, values)]
     return df.sparkSession.createDataFrame(table, "column string, vif double, drop boolean")
@@ -125,18 +125,18 @@ def fit_pca(train: DataFrame, n: int | None = None, variance: float | None = Non
     `variance` keeps the fewest components that explain that share.
     """
     from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
 
     centre = StandardScaler(withMean=True, withStd=False, inputCol=features, outputCol="_centred").fit(train)
     centred = centre.transform(train)
     width = train.select(features).first()[0].size
     k = min(n or width, width)
-    model = PCA(k=k, inputCol="_centred", outputCol=out).fit(centred)
-    if variance is not None:
-        share = np.cumsum(model.explainedVariance.toArray())
-        k = min(int(np.searchsorted(share, variance - 1e-12) + 1), k)
-        model = PCA(k=k, inputCol="_centred", outputCol=out).fit(centred)
-    return PipelineModel([centre, model])
+    if variance is None:
+        return PipelineModel([centre, PCA(k=k, inputCol="_centred", outputCol=out).fit(centred)])
+    model = PCA(k=k, inputCol="_centred", outputCol="_components").fit(centred)
+    share = np.cumsum(model.explainedVariance.toArray())
+    k = min(int(np.searchsorted(share, variance - 1e-12) + 1), k)
+    return PipelineModel([centre, model, VectorSlicer(inputCol="_components", outputCol=out, indices=list(range(k)))])
 
 
 def lasso_cv(df: DataFrame, lambdas: Sequence[float], folds: int = 3, features: str = "features",

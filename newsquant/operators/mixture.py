@@ -54,9 +54,9 @@ def _maximise(n: np.ndarray, s1: np.ndarray, s2: np.ndarray, alpha: float) -> di
     }
 
 
-def fit_dpgmm(df: DataFrame, column: str, n_max: int, alpha: float, max_iter: int = 10, seed: int = 0,
-              id_col: str = "vec_id") -> tuple[DataFrame, float, int]:
-    """Fit on a standardised array column: `(components, mean log-likelihood, effective components)`.
+def fit_dpgmm(df: DataFrame, column: str, n_max: int, alpha: float, max_iter: int = 100, seed: int = 0,
+              id_col: str = "vec_id", tol: float = 1e-4) -> tuple[DataFrame, float, int]:
+    """Fit, until the mean log-likelihood gains less than `tol`, on a standardised array column: `(components, mean log-likelihood, effective components)`.
 
     `n_max` is the truncation. The components table is `(cluster_id, weight,
     centroid, n)`, the same shape any cluster model has.
@@ -69,8 +69,11 @@ def fit_dpgmm(df: DataFrame, column: str, n_max: int, alpha: float, max_iter: in
     params = _maximise(np.ones(t), start, start * start, alpha)
     score = float("-inf")
     for _ in range(max_iter):
+        last = score
         n, s1, s2, score = _sums(df, column, params, t, d)
         params = _maximise(n, s1, s2, alpha)
+        if score - last < tol:
+            break
     weight = params["n"] / params["n"].sum()
     rows = [(i, float(weight[i]), params["m"][i].tolist(), float(params["n"][i])) for i in range(t)]
     table = df.sparkSession.createDataFrame(rows, "cluster_id int, weight double, centroid array<double>, n double")
@@ -95,22 +98,24 @@ def _sums(df: DataFrame, column: str, params: dict, t: int, d: int):
             r /= total
             n, s1, s2, rows = n + r.sum(axis=0), s1 + r.T @ x, s2 + r.T @ (x * x), rows + len(x)
         if rows:
-            c, j = np.divmod(np.arange(t * d), d)
-            yield pd.DataFrame({"c": c, "j": j, "n": n[c], "s1": s1.ravel(), "s2": s2.ravel()})
-            yield pd.DataFrame({"c": [-1], "j": [0], "n": [float(rows)], "s1": [ll], "s2": [0.0]})
+            yield pd.DataFrame({"c": np.arange(t), "n": n, "s": list(np.hstack([s1, s2]))})
+            yield pd.DataFrame({"c": [-1], "n": [float(rows)], "s": [[ll]]})
 
-    parts = df.select(F.col(column).alias("x")).mapInPandas(expect, "c long, j long, n double, s1 double, s2 double")
-    got = parts.groupBy("c", "j").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).toPandas()
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": group["c"].iloc[:1], "n": [group["n"].sum()], "s": [np.sum(group["s"].tolist(), axis=0)]})
+
+    # one row per component and task is shuffled, its sums as one array
+    schema = "c long, n double, s array<double>"
+    parts = df.select(F.col(column).alias("x")).mapInPandas(expect, schema)
+    got = {r["c"]: r for r in parts.groupBy("c").applyInPandas(add, schema).collect()}
     shared.unpersist()
-    tail = got[got["c"] < 0].iloc[0]
-    got = got[got["c"] >= 0].sort_values(["c", "j"])
-    shape = (t, d)
-    return (got["n"].to_numpy().reshape(shape)[:, 0], got["s1"].to_numpy().reshape(shape),
-            got["s2"].to_numpy().reshape(shape), float(tail["s1"] / tail["n"]))
+    tail = got.pop(-1)
+    sums = np.array([got[c]["s"] for c in range(t)])
+    return np.array([got[c]["n"] for c in range(t)]), sums[:, :d], sums[:, d:], tail["s"][0] / tail["n"]
 
 
 def search_alpha(df: DataFrame, column: str, n_max: int, alphas: Sequence[float] = (0.01, 0.1, 1, 10),
-                 max_iter: int = 10, seed: int = 0, id_col: str = "vec_id") -> DataFrame:
+                 max_iter: int = 100, seed: int = 0, id_col: str = "vec_id") -> DataFrame:
     """`(alpha, score, components, best)`; the first alpha with the highest score is best.
 
     The sample is read by every iteration, so it is kept in executor memory or on disk meanwhile.

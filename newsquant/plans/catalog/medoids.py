@@ -71,4 +71,4 @@ def medoid_step(spark, sf_dir):
 
 @query("kmedoids_history")
 def kmedoids_history(spark, sf_dir):
-    return medoids.kmedoids(pl.mini_news(spark, sf_dir), K, "order_no", max_iter=3)[1]
+    return medoids.kmedoids(pl.mini_news(spark, sf_dir), K, "order_no")[1]

@@ -116,7 +116,7 @@ def arma_order(spark, sf_dir):
 
 def _regimes(spark, sf_dir):
     frame = series.ema(series.log_ret(tables.prices(spark, sf_dir)))
-    return regimes.hmm_states(frame, restarts=2, max_iter=25)
+    return regimes.hmm_states(frame, restarts=3, max_iter=100)
 
 
 @query("hmm_states")
@@ -132,7 +132,7 @@ def kmeans_fit(spark, sf_dir):
     rows = sorted(stats.collect(), key=lambda r: r["slot"])
     std, shift = [r["std"] for r in rows], [r["mean"] / r["std"] for r in rows]
     vectors = encode.sparse_vectors(cleaned, pl.NEWS_LAYOUT, std=std)
-    model = clusters.fit_kmeans(vectors.select("features"), pl.NEWS_K, max_iter=10)
+    model = clusters.fit_kmeans(vectors.select("features"), pl.NEWS_K)
     table = clusters.centroid_table(spark, model, shift, encode.slot_order(pl.NEWS_LAYOUT))
     assigned = nearest.assign_expanded(cleaned, pl.NEWS_LAYOUT, stats, table)
     return clusters.intravariance(assigned).join(table, "cluster_id")
@@ -141,7 +141,7 @@ def kmeans_fit(spark, sf_dir):
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
     e = tables.table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("features"))
-    return clusters.kmeans_sweep(e, [5, 10, 20], max_iter=10)[1]
+    return clusters.kmeans_sweep(e, [5, 10, 20])[1]
 
 
 @query("whitened_kmeans")
@@ -159,26 +159,26 @@ def _standard_embeddings(spark, sf_dir):
     from pyspark.ml.feature import StandardScaler
 
     scaled = StandardScaler(withMean=True, withStd=True, inputCol="v", outputCol="z").fit(e).transform(e)
-    return scaled.select("vec_id", "label", vector_to_array("z").alias("z"))
+    return cut_lineage(scaled.select("vec_id", "label", vector_to_array("z").alias("z")))  # every round reads it
 
 
 @query("dpgmm_fit")
 def dpgmm_fit(spark, sf_dir):
-    table, _, _ = mixture.fit_dpgmm(_standard_embeddings(spark, sf_dir), "z", 20, 1.0, max_iter=8)
+    table, _, _ = mixture.fit_dpgmm(_standard_embeddings(spark, sf_dir), "z", 20, 1.0)
     return table
 
 
 @query("alpha_search")
 def alpha_search(spark, sf_dir):
-    return mixture.search_alpha(_standard_embeddings(spark, sf_dir), "z", 20, max_iter=4)
+    return mixture.search_alpha(_standard_embeddings(spark, sf_dir), "z", 20)
 
 
 @query("pca_variance")
 def pca_variance(spark, sf_dir):
     """Fewest components that explain 95 % of the embeddings, and their share."""
     e = tables.table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("features"))
-    model = linear.fit_pca(e, variance=0.95).stages[-1]
-    share = model.explainedVariance.toArray()
+    _, model, chosen = linear.fit_pca(e, variance=0.95).stages
+    share = model.explainedVariance.toArray()[:len(chosen.getIndices())]
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(share)], "component int, share double")
 
 
@@ -199,15 +199,15 @@ def classifier_panel(spark, sf_dir):
 
 @query("logistic_grid")
 def logistic_grid(spark, sf_dir):
-    return classify.logistic_grid(classifier_panel(spark, sf_dir), cs=classify.C_GRID_6[1:5], max_iter=20)[0]
+    return classify.logistic_grid(classifier_panel(spark, sf_dir), cs=classify.C_GRID_10)[0]
 
 
 @query("svm_grid")
 def svm_grid(spark, sf_dir):
     panel = classifier_panel(spark, sf_dir)
-    pca = linear.fit_pca(panel.filter(F.col("split") == "train"), n=8)
+    pca = linear.fit_pca(panel.filter(F.col("split") == "train"), variance=0.99)
     small = pca.transform(panel).select("label", "split", F.col("pca").alias("features"))
-    return classify.svm_grid(small, cs=[0.1, 10.0], max_iter=15)[0]
+    return classify.svm_grid(small, cs=classify.C_GRID_6)[0]
 
 
 def _impact_panel(spark, sf_dir):
@@ -224,14 +224,14 @@ def holdout_svm(spark, sf_dir):
     merged, columns = _impact_panel(spark, sf_dir)
     data = classify.assemble(merged, columns).select(
         F.concat("symbol", F.col("day").cast("string")).alias("id"), "features", (F.col("class") > 0).cast("int").alias("label"))
-    return classify.holdout_svm(data, times=5)
+    return classify.holdout_svm(data, times=100)
 
 
 @query("lasso_cv")
 def lasso_cv(spark, sf_dir):
     merged, columns = _impact_panel(spark, sf_dir)
     data = classify.assemble(merged, columns).select("day", "features", F.col("ret").alias("label"))
-    return linear.lasso_cv(data, [0.001, 0.01, 0.1], folds=3)[0]
+    return linear.lasso_cv(data, [10.0 ** e for e in range(-5, 1)], folds=3)[0]
 
 
 @query("word2vec")

@@ -72,13 +72,19 @@ def acf(spark, sf_dir):
     return rounded(series.acf(tables.prices(spark, sf_dir), 20), 6, "acf", "band")
 
 
-@query("pacf", "prices", _ACF, """
-SELECT symbol, CAST(1 AS INT) AS lag, ROUND(r1, 6) AS pacf FROM (SELECT symbol, MAX(acf) FILTER (lag = 1) AS r1,
-  MAX(acf) FILTER (lag = 2) AS r2 FROM rho GROUP BY 1) q
-UNION ALL SELECT symbol, 2, ROUND((r2 - r1 * r1) / (1 - r1 * r1), 6) FROM (SELECT symbol, MAX(acf) FILTER (lag = 1) AS r1,
-  MAX(acf) FILTER (lag = 2) AS r2 FROM rho GROUP BY 1) q""")
+@query("pacf", "prices", _ACF + """,
+arr AS (SELECT symbol, list(acf ORDER BY lag) AS r FROM rho GROUP BY 1)""", """
+SELECT symbol, CAST(k AS INT) AS lag, ROUND(p, 6) AS pacf FROM (
+  WITH RECURSIVE d AS (
+    SELECT symbol, 1 AS k, [r[2]] AS phi, r[2] AS p FROM arr
+    UNION ALL
+    SELECT symbol, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - q * phi[k + 1 - j]), q), q FROM (
+      SELECT d.symbol, d.k, d.phi, (a.r[k + 2] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * a.r[k + 2 - j])))
+        / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * a.r[j + 1]))) AS q
+      FROM d JOIN arr a ON a.symbol = d.symbol WHERE k < 20) s)
+  SELECT symbol, k, p FROM d) t""")
 def pacf(spark, sf_dir):
-    return rounded(series.pacf(tables.prices(spark, sf_dir), 2), 6, "pacf")
+    return rounded(series.pacf(tables.prices(spark, sf_dir), 20), 6, "pacf")
 
 
 _RUNS = """

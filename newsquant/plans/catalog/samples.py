@@ -47,10 +47,10 @@ def bootstrap(spark, sf_dir):
 @query("holdout", "prices", "ids AS (SELECT concat(symbol, CAST(day AS VARCHAR)) AS id FROM prices)", f"""
 SELECT id, CAST(draw AS INT) AS draw, CASE WHEN ROW_NUMBER() OVER (PARTITION BY draw ORDER BY
   {key_sql("concat(id, ':', draw)", 0)}, concat(id, ':', draw)) <= FLOOR((SELECT COUNT(*) FROM ids) * 0.7) THEN 'train' ELSE 'test' END AS split
-FROM ids CROSS JOIN range(0, 20) t(draw)""")
+FROM ids CROSS JOIN range(0, 100) t(draw)""")
 def holdout(spark, sf_dir):
     ids = tables.prices(spark, sf_dir).select(F.concat("symbol", F.col("day").cast("string")).alias("id"))
-    return sample.repeated_holdout(ids, 0.7, 20, 0, "id")
+    return sample.repeated_holdout(ids, 0.7, 100, 0, "id")
 
 
 @query("splits", "prices", """
