@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from newsquant.functions.distance import MINI_CATEGORY, MINI_NUMERIC
 from newsquant.operators.nearest import assign_mixed, freeze
 from newsquant.operators.ranking import value_prefix
-from newsquant.session import cut_lineage
+from newsquant.session import cut_lineage, discard
 from newsquant.sources.keyed import uniform_keys
 
 
@@ -99,6 +99,7 @@ def kmedoids(events: DataFrame, k: int, order: str, max_iter: int = 10, numeric:
     for step in range(max_iter):
         assigned = cut_lineage(assign_mixed(events, medoids, numeric, category, id_col))  # read three times below
         found = freeze(medoid_step(assigned, numeric, category, id_col, medoids))
+        discard(assigned)
         row = found.select(F.lit(step).alias("iteration"), "cluster_id", id_col, "total", "size")
         history = row if history is None else history.unionByName(row)
         before = {r["cluster_id"]: r[id_col] for r in medoids.select("cluster_id", id_col).collect()}

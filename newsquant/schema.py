@@ -64,11 +64,6 @@ EVENT_ROLES = (
 
 # Cluster counts of the training sweeps.
 K_SWEEP = [10, 20, 30, 40, 50, 100, 200, 300, 400, 500, 1000, 2000, 3000, 4000, 5000]
-# Grid of the return regression.
-GRID_K = [30, 100, 300]
-GRID_COMPONENTS = [10, 30, 100, 300, None]
-LOG_RETURN_SCALE = 1_000_000
-SPLIT_RATIOS = (60.0, 20.0, 20.0)
 
 # Top exporters (ISO alpha-3) per traded commodity.
 TOP_EXPORTERS = {
@@ -76,8 +71,6 @@ TOP_EXPORTERS = {
     "XAG": ["CHE", "HKG", "GBR", "USA", "CAN"],
     "CL": ["SAU", "RUS", "ARE", "CAN", "IRQ"],
 }
-# Countries of the currency-impact matrix.
-FX_COUNTRIES = ["USA", "GBR"]
 
 # English stop words (the 127-word list in common use).
 STOP_WORDS = """
@@ -89,28 +82,3 @@ through during before after above below to from up down in out on off over under
 further then once here there when where why how all any both each few more most other some
 such no nor not only own same so than too very s t can will just don should now
 """.split()
-
-# Currency pairs and adjusted-close symbols of the price registry.
-_PAIRS = """
-XAGUSD XAUUSD USDBRL USDCZK USDDKK USDEGP USDHKD USDHUF USDIDR USDILS USDINR USDKRW USDMXN
-USDMYR USDNOK USDPHP USDPLN USDRUB USDSEK USDSGD USDSKK USDTHB USDTND USDZAR
-""".split()
-_ADJUSTED = """
-CJ CY CZ D7L DAC DBL DEN DX EFM EJ ESK EVC EWN EXR FI GCU GD GL GOC GX HE HMO HP IN IR IS KA
-KEO KEP KGB KMF KOL KRA KRK KRU KT LPE LPS M6J MAE MAS MBE MCC MCD MDB MFB MKC MM MNC MXB NI
-NL NP NS OIL OMM PGP PH PLE PZ QI RB RG RL RM RMB RT SD SF SI SIL SIR SMC SP SPY SS STI STR
-STZ TC TR TT TZ6 UA UCM UN VIX ZN
-""".split()
-
-# symbol -> (column of its price file, regress on the log return?)
-PRICE_REGISTRY = {p: (f"{p[:3]}.{p[3:]}", True) for p in _PAIRS}
-PRICE_REGISTRY.update({s: (f"{s}.Adjusted", True) for s in _ADJUSTED})
-# The short registry used for the survey indices.
-SURVEY_REGISTRY = {
-    "VIX": ("VIX.Adjusted", True),
-    "aabear": ("Mid Price", False),
-    "aabull": ("Mid Price", False),
-    "aaneut": ("Mid Price", False),
-    "gsci": ("Mid Price", True),
-    "US10": ("Mid Price", True),
-}

@@ -46,7 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in `spark.checkpoint.dir`; only a local session without it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="newsquant-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -61,4 +62,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/newsquant-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._landed_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the copies that `cut_lineage` wrote for these frames, once nothing reads them any more; others are left alone."""
+    for df in frames:
+        path = getattr(df, "_landed_at", None)
+        if path is not None:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

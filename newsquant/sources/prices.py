@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,38 +10,43 @@ from newsquant.functions.events import parse_mixed_date
 _FIELDS = ["open", "high", "low", "close", "volume", "adjusted", "mid price", "value"]
 
 
-def read_prices(spark: SparkSession, paths: dict[str, str], registry: dict[str, tuple[str, bool]] | None = None,
+_WIDTH = 8
+
+
+def read_prices(spark: SparkSession, paths: dict[str, str] | str, registry: dict[str, tuple[str, bool]] | None = None,
                 sep: str = " ") -> DataFrame:
     """Price files as one long table `(symbol, day, field, value, log_return)`.
 
-    `paths` maps a symbol to its file. The header decides the fields: single
-    column, OHLCV (`SYM.Open` ...) or `Mid Price`. With a registry only the
-    registered column of each symbol is kept and named `price`.
+    `paths` is a glob, whose file names without extension are the symbols, or
+    maps symbols to files of different names. All files are one scan: each
+    file's header row, joined back by file, decides its fields: single column,
+    OHLCV (`SYM.Open` ...) or `Mid Price`. With a registry only the registered
+    column of each registered symbol is kept and named `price`.
     """
-    frames = []
-    for symbol, path in paths.items():
-        wide = spark.read.option("sep", sep).option("header", True).option("quote", '"').csv(path)
-        day, *fields = wide.columns
-        if registry is not None:
-            fields = [f for f in fields if f == registry[symbol][0]]
-        pairs = F.explode(F.array(*[
-            F.struct(F.lit(_field_name(symbol, f, registry)).alias("field"),
-                     F.col(f"`{f}`").cast("string").alias("raw"))
-            for f in fields
-        ]))
-        frames.append(
-            wide.select(F.lit(symbol).alias("symbol"), parse_mixed_date(f"`{day}`").alias("day"), pairs.alias("p"))
-            .select("symbol", "day", "p.field", F.expr("try_cast(p.raw AS DOUBLE)").alias("value"),
-                    F.lit(bool(registry and registry[symbol][1])).alias("log_return"))
-        )
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _field_name(symbol: str, column: str, registry) -> str:
-    if registry is not None:
-        return "price"
-    tail = column.split(".")[-1].lower()
-    return tail.replace(" ", "_") if tail in _FIELDS else "price"
+    columns = [f"c{i}" for i in range(_WIDTH)]
+    files = list(paths.values()) if isinstance(paths, dict) else paths
+    raw = spark.read.schema(", ".join(f"{c} STRING" for c in columns)).option("sep", sep).option("quote", '"').csv(files)
+    raw = raw.select(*columns, F.col("_metadata.file_name").alias("file"))
+    header = parse_mixed_date("c0").isNull() & F.expr("try_cast(c1 AS DOUBLE)").isNull() & F.col("c1").isNotNull()
+    names = raw.filter(header).groupBy("file").agg(F.first(F.array(*columns[1:])).alias("names"))
+    cells = F.explode(F.arrays_zip(F.col("names").alias("name"), F.array(*columns[1:]).alias("raw")))
+    rows = raw.filter(~header).join(names, "file").select("file", parse_mixed_date("c0").alias("day"), cells.alias("p"))
+    rows = rows.filter("p.name is not null")
+    if isinstance(paths, dict):
+        own = {p.rstrip("/").rsplit("/", 1)[-1]: s for s, p in paths.items()}
+        if len(own) < len(paths):
+            raise ValueError("two price files share a name")
+        rows = rows.join(spark.createDataFrame(list(own.items()), "file string, symbol string"), "file")
+    else:
+        rows = rows.withColumn("symbol", F.regexp_extract("file", r"^(.*?)(\.[A-Za-z0-9]+)?$", 1))
+    value = F.expr("try_cast(p.raw AS DOUBLE)").alias("value")
+    if registry is None:
+        tail = F.lower(F.element_at(F.split("p.name", "\\."), -1))
+        field = F.when(tail.isin(_FIELDS), F.replace(tail, F.lit(" "), F.lit("_"))).otherwise("price")
+        return rows.select("symbol", "day", field.alias("field"), value, F.lit(False).alias("log_return"))
+    wanted = spark.createDataFrame([(s, c, r) for s, (c, r) in registry.items()], "symbol string, name string, log_return boolean")
+    chosen = rows.join(wanted, (rows["symbol"] == wanted["symbol"]) & (F.col("p.name") == wanted["name"]))
+    return chosen.select(rows["symbol"], "day", F.lit("price").alias("field"), value, "log_return")
 
 
 def pivot_fields(long_prices: DataFrame, fields: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 
-# Slow fits run in bench and in their own tests.
+# Slow fits: their operators have tests of their own, on small planted data.
 SLOW = {"logistic_grid", "svm_grid", "holdout_svm", "kmedoids_history", "lasso_cv"}
 
 

@@ -61,6 +61,9 @@ def test_price_files(spark, tmp_path):
     registry = {"XAGUSD": ("XAG.USD", True), "BB": ("BB.Adjusted", True), "aabear": ("Mid Price", False)}
     chosen = prices.read_prices(spark, paths, registry)
     assert {(r["symbol"], r["field"]) for r in chosen.collect()} == {(s, "price") for s in registry}
+    by_name = {"XAG": registry["XAGUSD"], "BB": registry["BB"], "survey": registry["aabear"]}
+    globbed = prices.read_prices(spark, str(tmp_path / "*.csv"), by_name)
+    assert sorted(tuple(r)[1:] for r in globbed.collect()) == sorted(tuple(r)[1:] for r in chosen.collect())
     survey = chosen.filter("symbol = 'aabear'").orderBy("day").collect()
     assert [r["day"] for r in survey] == [date(2013, 1, 2), date(2013, 1, 9)] and not survey[0]["log_return"]
 

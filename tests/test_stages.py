@@ -93,3 +93,15 @@ def test_several_models_take_one_pass(spark):
     one = {k: sorted(map(tuple, nearest.assign_expanded(df, lay, *models[k]).drop("dist").collect())) for k in models}
     got = {k: sorted(map(tuple, out.filter(F.col("k") == k).drop("k").collect())) for k in models}
     assert got == one
+
+
+def test_discarded_copies_are_gone(spark):
+    import os
+
+    from newsquant.session import cut_lineage, discard, shared_folder
+
+    copy = cut_lineage(spark.range(5))
+    place = copy.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert copy.count() == 5 and os.path.isdir(place) and place.startswith(shared_folder(spark))
+    discard(copy, spark.range(3))
+    assert not os.path.exists(place)
