@@ -11,9 +11,13 @@ placeholders is not.
 
 An alignment is a leak if it is consistent and has `NEEDED` matched windows
 (13 words in a row), or all windows of a shorter item. Windows of mostly
-placeholders are no evidence and not searched. Before the join, document
-windows are tested against a table of `BUCKETS` flags (its size is fixed;
-false alarms only cost time), so a large benchmark does not move all windows.
+placeholders are no evidence and not searched.
+
+Before the join, documents are tested against two tables of `BUCKETS` flags
+(their size is fixed; false alarms only cost time): each item window names its
+longest pair of neighbouring words, only at such pairs document windows are
+cut out, and only those whose hash is flagged are joined. So a large benchmark
+does not move all windows.
 
 Defined results: null and empty texts and texts under eight words match
 nothing, nor do items under eight words; rows that repeat an id share their
@@ -26,7 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsquant.llm.common import let, read, text_of, words_of
+from newsquant.llm.common import read, text_of, words_of
+from newsquant.session import cut_lineage
 
 WINDOW, NEEDED = 8, 6
 #: Least number of literal words in a window.
@@ -51,31 +56,39 @@ def plain(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Template text of a plain text, word by word."""
-    t = F.regexp_replace(text, f"(?<=[^.!?:{_BLANK}]\\x20[\"'(]?)\\p{{Lu}}[\\p{{L}}\\p{{N}}\\p{{M}}'-]*", NAME)
+    # the capital is tested before what stands in front of it: capitals are rare
+    t = F.regexp_replace(text, f"\\p{{Lu}}(?<=[^.!?:{_BLANK}]\\x20[\"'(]?\\p{{Lu}})[\\p{{L}}\\p{{N}}\\p{{M}}'-]*", NAME)
     t = F.regexp_replace(t, "[+-]?\\p{Sc}?\\p{N}+(?:[.,:/]\\p{N}+)*%?", NUMBER)
     t = F.regexp_replace(t, f"(?<={NUMBER})(\\x20?)(?i:{UNITS})(?![\\p{{L}}\\p{{N}}\\p{{M}}])", f"$1{UNIT}")
     return F.regexp_replace(F.lower(t), f"[^\\p{{L}}\\p{{N}}\\p{{M}}{NAME}-{UNIT}{_BLANK}]+", "")
 
 
-def window_hashes(words: Column) -> Column:
-    """Hashes of all windows of template words, in order."""
+def split_words(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, raw, words): the plain words and, place by place, the template words."""
+    texts = rows.select(F.col(id_col).alias("id"), plain(text_of(text_col)).alias("t"))
+    return texts.select("id", words_of(F.col("t")).alias("raw"), words_of(template(F.col("t"))).alias("words"))
 
-    def of(hashes: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1))
-        return F.when(F.size(hashes) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW))))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
+def pair_hash(words: str | Column, at: Column) -> Column:
+    """Hash of the template words at `at` and after it (from 0)."""
+    return F.xxhash64(F.get(words, at), F.get(words, at + 1))
 
 
-def windows(rows: DataFrame, id_col: str, text_col: str, wanted: Column | None = None) -> DataFrame:
-    """(id, at, h, raw, words): every window with its raw and its template words; `wanted` filters on h before these are cut out."""
-    texts = rows.select(F.col(id_col).alias("id"), plain(text_of(text_col)).alias("t"))
-    split = texts.select("id", words_of(F.col("t")).alias("raw"), words_of(template(F.col("t"))).alias("words"))
-    each = split.select("id", "raw", "words", F.posexplode(window_hashes(F.col("words"))).alias("at", "h"))
+def windows(split: DataFrame, starts: Column, wanted=None) -> DataFrame:
+    """(id, at, h, raw, words): the windows at `starts`, an array of places; those that pass an end are left out.
+
+    `wanted`, a test of the hash, is applied inside the row: explode copies
+    what stands beside it for every element, so only the windows themselves
+    pass it. Its outer form keeps Spark from testing the array below the
+    projections as well, which would compute the words twice.
+    """
+    inside = F.array_distinct(F.filter(starts, lambda at: (at >= 0) & (at + WINDOW <= F.size("words"))))
+    cut = F.transform(inside, lambda at: F.struct(
+        at.alias("at"), F.xxhash64(F.slice("words", at + 1, WINDOW)).alias("h"),
+        F.slice("raw", at + 1, WINDOW).alias("raw"), F.slice("words", at + 1, WINDOW).alias("words")))
     if wanted is not None:
-        each = each.filter(wanted)
-    return each.select("id", "at", "h", F.slice("raw", F.col("at") + 1, WINDOW).alias("raw"),
-                       F.slice("words", F.col("at") + 1, WINDOW).alias("words"))
+        cut = F.filter(cut, lambda w: wanted(w["h"]))
+    return split.select("id", F.explode_outer(cut).alias("w")).filter(F.col("w").isNotNull()).select("id", "w.*")
 
 
 def _slots(words: Column) -> Column:
@@ -86,17 +99,39 @@ def _bucket(h: Column) -> Column:
     return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, item_id, diagonal, windows, slots): the consistent alignments that are leaks."""
-    items = windows(benchmark.filter("item_id is not null"), "item_id", "text").filter(_slots(F.col("words")) <= WINDOW - LITERAL)
-    items = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("raw").alias("item_raw"),
-                         F.col("words").alias("item_words")).dropDuplicates(["item_id", "item_at", "h"])
+def _flagged(hashes: DataFrame, column: str):
+    """A test whether a hash may be among those of `column`."""
     flags = bytearray(BUCKETS)
-    for (b,) in items.select(_bucket(F.col("h")).alias("b")).distinct().collect():  # at most BUCKETS numbers
+    for (b,) in hashes.select(_bucket(F.col(column)).alias("b")).distinct().collect():  # at most BUCKETS numbers
         flags[b] = 1
-    maybe = F.substring(F.lit(bytes(flags)), _bucket(F.col("h")) + 1, 1) == F.lit(b"\x01")
+
+    def maybe(h: Column) -> Column:
+        return F.substring(F.lit(bytes(flags)), _bucket(h) + 1, 1) == F.lit(b"\x01")
+
+    return maybe
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, item_id, diagonal, windows, slots): the consistent alignments that are leaks."""
+    every = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)))
+    items = windows(split_words(benchmark.filter("item_id is not null"), "item_id", "text"), every)
+    items = items.filter(_slots(F.col("words")) <= WINDOW - LITERAL)
+    lengths = F.transform("words", lambda w: F.length(w))
+    pairs = F.zip_with(F.slice(lengths, 1, WINDOW - 1), F.slice(lengths, 2, WINDOW - 1), lambda a, b: a + b)
+    longest = (F.array_position(pairs, F.array_max(pairs)) - 1).cast("int")
+    items = cut_lineage(items.select(
+        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("raw").alias("item_raw"),
+        F.col("words").alias("item_words"), pair_hash("words", longest).alias("pair")).dropDuplicates(["item_id", "item_at", "h"]))
+    maybe_pair, maybe_window = _flagged(items, "pair"), _flagged(items, "h")
+    split = split_words(docs, id_col, text_col)
+    places = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)))
+    pairs_at = F.filter(places, lambda at: maybe_pair(pair_hash("words", at)))
+    placed = split.select("id", "raw", "words", pairs_at.alias("pairs_at"))
+    # a pair lies at one of the first WINDOW - 1 places of its window
+    starts = F.flatten(F.transform("pairs_at", lambda at: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 2)), lambda o: at - o)))
+    found = windows(placed, starts, maybe_window)
     sizes = items.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    met = windows(docs, id_col, text_col, maybe).join(items, "h").filter(F.col("words") == F.col("item_words"))
+    met = found.join(items, "h").filter(F.col("words") == F.col("item_words"))
     pairs = F.filter(
         F.transform("words", lambda w, i: F.struct(
             w.alias("kind"), F.lower(F.get("item_raw", i)).alias("a"), F.lower(F.get("raw", i)).alias("b"))),
