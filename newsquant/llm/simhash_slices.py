@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsquant.llm.common import LOWER, read, text_of
-from newsquant.session import cut_lineage, ship_package
+from newsquant.session import cut_lineage, discard, ship_package
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCKS, BLOCK_BITS = 4, 16
@@ -216,6 +216,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, the driver keeps two numbers per round.
     """
     seen = None
+    before: list[DataFrame] = []
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -224,9 +225,10 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(lowest, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        discard(large, *before)
         if now == seen:
             return edges
-        seen = now
+        seen, before = now, [edges]
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
