@@ -14,37 +14,42 @@ unit's lattice, grouped by unit and folded with a higher-order aggregate.
 Units beyond `LONG` characters, too long for the bit mask, are merged with a
 heap in Python, with the same result.
 
-Applying the encodings moves no token that is common: units of the highest
-counts, at most `HOT`, are one file of bounded size that every worker reads
-from the shared folder. What a text has beyond them is joined to its encoding
-by unit and comes back grouped by the text's hash; the texts travel compressed.
+Applying the encodings moves no text. Units of the highest counts, at most
+`HOT`, are one file of bounded size that every worker reads from the shared
+folder. What a scan task meets beyond them is joined to its encoding by unit
+and written back under the task's number, so that the same task of the next
+scan finds it. Should a task find other rows than before (an input that is no
+stored table), what is missing is merged in place, with the same result.
 
 Defined results: null and empty texts have no pieces and decode to the empty
-text; the sign for blanks (U+2581) in a text decodes to a blank; copies of a
-text share one hash and one result; rows that repeat are encoded each.
+text; the sign for blanks (U+2581) in a text is a blank and decodes to one;
+rows that repeat are encoded each.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsquant.llm.common import let, read, text_of
-from newsquant.session import cut_lineage, ship_package
+from newsquant.session import cut_lineage, discard, shared_folder, ship_package
 
 BLANK_SIGN = "▁"
-UNIT = re.compile(f"\n|{BLANK_SIGN}*[^{BLANK_SIGN}\n]+|{BLANK_SIGN}+")
+#: A line end, blanks with a word, or blanks alone.
+UNIT = re.compile("\n| *[^ \n]+| +")
 #: Longest unit for the mask fold, units in the shared file, units a counting task holds before it hands them on.
 LONG, HOT, HELD = 60, 1 << 19, 300_000
 #: Piece types of the model format (fixed values).
@@ -64,23 +69,30 @@ class Pieces:
         if spec.name != "identity" or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
             raise ValueError("only models that leave texts as they are, with a leading blank, are supported")
         self.bpe = model.trainer_spec.model_type == 2
-        self.rows = [(p.piece, i, float(p.score)) for i, p in enumerate(model.pieces) if p.type == NORMAL]
+        normal = [(i, p) for i, p in enumerate(model.pieces) if p.type == NORMAL]
+        self.rows = [(p.piece.replace(BLANK_SIGN, " "), i, float(p.score)) for i, p in normal]
         self.first_byte = next(i for i, p in enumerate(model.pieces) if p.type == BYTE)
         self.longest = max(len(p) for p, _, _ in self.rows)
-        if any(len(p) > 1 and (BLANK_SIGN in p.lstrip(BLANK_SIGN) or "\n" in p) for p, _, _ in self.rows):
+        if any(len(p) > 1 and (" " in p.lstrip(" ") or "\n" in p) for p, _, _ in self.rows):
             raise ValueError("a piece crosses units")
         self.as_bytes = [b""] * len(model.pieces)
         for piece, i, _ in self.rows:
-            self.as_bytes[i] = piece.replace(BLANK_SIGN, " ").encode()
+            self.as_bytes[i] = piece.encode()
         for b in range(256):
             self.as_bytes[self.first_byte + b] = bytes([b])
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
+        """The table as a stored one: its rows stay out of the plans."""
+        return cut_lineage(spark.createDataFrame(self.rows, "piece string, id int, score double").coalesce(1))
+
+
+def partitions(spark: SparkSession) -> int:
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def units(text: str) -> list[str]:
-    return UNIT.findall(BLANK_SIGN + text.replace(" ", BLANK_SIGN)) if text else []
+    """The units of a text and of the blank the model puts before it."""
+    return UNIT.findall(" " + text.replace(BLANK_SIGN, " ")) if text else []
 
 
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -90,11 +102,9 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     """
     spark = words.sparkSession
     size = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda a: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - a)), lambda n: F.struct(a.alias("a"), n.alias("n")))))
-    # the outer form, as no unit is empty: a plain explode would make Spark build the array twice
-    parts = words.select("unit", F.explode_outer(spans).alias("s")).select(
-        "unit", F.col("s.a").alias("a"), F.col("s.n").alias("n"), F.substring("unit", F.col("s.a") + 1, F.col("s.n")).alias("piece"))
+    starts = words.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("a"))
+    spans = starts.select("unit", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("a")))).alias("n"))
+    parts = spans.select("unit", "a", "n", F.substring("unit", F.col("a") + 1, F.col("n")).alias("piece"))
     if len(pieces.rows) > 1 << 20:
         raise ValueError("piece table too large to broadcast")
     found = parts.join(F.broadcast(pieces.frame(spark)), "piece", "left").filter("id is not null or n = 1")
@@ -109,6 +119,17 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))
 
 
+def _folded(edges_: Column, every: Column, rounds: Column) -> Column:
+    """The mask of borders that is left after all rounds."""
+
+    def join(mask: Column, _) -> Column:
+        best = F.get(F.filter(edges_, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"])
+                              & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)), F.lit(0))
+        return F.coalesce(mask.bitwiseAND(F.bitwise_not(best["inner"])), mask)
+
+    return F.aggregate(F.sequence(F.lit(1), rounds), every, join)
+
+
 def merged(lattice: DataFrame) -> DataFrame:
     """(unit, ids) by merge order. `inner` has the borders an edge removes, `ends` those it needs."""
     inner = _bit(F.col("c")) - _bit(F.col("a") + 1)
@@ -117,18 +138,14 @@ def merged(lattice: DataFrame) -> DataFrame:
     size = F.length("unit")
     every = _bit(size + 1) - 1
 
-    def fold(es: Column) -> Column:
-        def join(mask: Column, _) -> Column:
-            best = F.get(F.filter(es, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)), F.lit(0))
-            return F.coalesce(mask.bitwiseAND(F.bitwise_not(best["inner"])), mask)
-
-        final = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), every, join)
-        return let(final, lambda mask: F.filter(
-            es, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inner"]) == 0)))
-
-    path = let(F.filter("edges", lambda e: F.lit(True)), fold)
+    # an edge of one character joins nothing; no more rounds are needed than there are borders or other edges
+    joins = F.filter("edges", lambda e: e["inner"] != 0)
+    rounds = F.least(F.size(joins), size - 1)
+    mask = F.when(rounds > 0, let(joins, lambda es: _folded(es, every, rounds))).otherwise(every)
+    folded = grouped.select("unit", "edges", mask.alias("mask"))
+    path = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
     ordered = F.sort_array(F.transform(path, lambda e: F.struct(e["a"], e["ids"])))
-    return grouped.select("unit", F.flatten(F.transform(ordered, lambda e: e["ids"])).alias("ids"))
+    return folded.select("unit", F.flatten(F.transform(ordered, lambda e: e["ids"])).alias("ids"))
 
 
 def viterbi(lattice: DataFrame) -> DataFrame:
@@ -182,10 +199,21 @@ def heap_merge(unit: str, table: dict[str, tuple[int, float]], first_byte: int)
     return out
 
 
+def encode_short(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) for distinct units, of a BPE model those of at most `LONG` characters.
+
+    Units are dealt out first, so that edges need no further exchange. Their
+    number of partitions is fixed: a unit becomes some fifty substrings, so
+    partitions merged by the size of the units would be too large.
+    """
+    dealt = words.repartition(partitions(words.sparkSession), "unit")
+    return merged(edges(dealt, pieces)) if pieces.bpe else viterbi(edges(dealt, pieces))
+
+
 def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids) for distinct units."""
+    """(unit, ids) for distinct units of any length."""
     if not pieces.bpe:
-        return viterbi(edges(words, pieces))
+        return encode_short(words, pieces)
     table = words.sparkSession.sparkContext.broadcast({p: (i, s) for p, i, s in pieces.rows})
     first_byte = pieces.first_byte
 
@@ -194,7 +222,7 @@ def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
             ids = [heap_merge(u, table.value, first_byte) for u in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["unit", "ids"])
 
-    short = merged(edges(words.filter(F.length("unit") <= LONG), pieces))
+    short = encode_short(words.filter(F.length("unit") <= LONG), pieces)
     return short.unionByName(words.filter(F.length("unit") > LONG).mapInArrow(rest, "unit string, ids array<int>"))
 
 
@@ -228,88 +256,121 @@ def hot_units(texts: DataFrame, hot: int = HOT) -> DataFrame:
     return counts.filter(F.col("n") >= least).select("unit")
 
 
-@lru_cache(maxsize=2)
-def _hot_table(path: str) -> dict[str, bytes]:
-    """Encodings of the hot units by unit, as 32-bit numbers; read from the shared folder once per worker."""
-    fs, name = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+def _read_units(path: str) -> dict[str, bytes]:
+    """Encodings by unit, as 32-bit numbers, of a folder of the shared file system; none if it is not there."""
+    fs, name = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
     out: dict[str, bytes] = {}
-    for f in fs.get_file_info(pyarrow.fs.FileSelector(name)):
+    for f in fs.get_file_info(pyarrow.fs.FileSelector(name, allow_not_found=True)):
         if f.path.endswith(".parquet"):
             with fs.open_input_file(f.path) as file:
                 for batch in pyarrow.parquet.ParquetFile(file).iter_batches(batch_size=8192, columns=["unit", "ids"]):
-                    for u, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        out[u] = np.array(i, np.int32).tobytes()
+                    ids = batch.column(1)
+                    values, ends = ids.flatten().to_numpy().tobytes(), np.cumsum(pc.list_value_length(ids).to_numpy()) * 4
+                    for u, lo, hi in zip(batch.column(0).to_pylist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                        out[u] = values[lo:hi]
     return out
 
 
-def _rest_units(path: str):
+@lru_cache(maxsize=1)
+def _hot_table(path: str) -> dict[str, bytes]:
+    """The hot units, read once per worker."""
+    return _read_units(path)
+
+
+def _rest_table(folder: str, part: int) -> dict[str, bytes]:
+    return _read_units(f"{folder}/part={part}")
+
+
+def _rest_units(table: str, longest: int):
+    """Units of at most `longest` characters that a task meets beyond the hot ones, with the task's number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = _hot_table(path)
+        hot, part = _hot_table(table), TaskContext.get().partitionId()
+        given: set[str] = set()
         for b in batches:
-            keys: list[int] = []
-            rest: list[str] = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = {u for u in units(text) if u not in hot}
-                keys += [key] * len(own)
-                rest += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rest, pa.string())], ["key", "unit"])
+            new: set[str] = set()
+            for text in b.column(0).to_pylist():
+                new.update(units(text))
+            rest = [u for u in new if u not in hot and u not in given and len(u) <= longest]
+            given = given if len(given) < 2 * HELD else set()
+            given.update(rest)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(rest), pa.int32()), pa.array(rest, pa.string())], ["part", "unit"])
 
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        packed = [press.compress(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["id", "key", "packed"])
+class _Known(dict):
+    """Encodings as 32-bit numbers; what is in none of the tables is merged here."""
+
+    def __init__(self, hot: dict[str, bytes], rest: dict[str, bytes], merge):
+        super().__init__(rest)
+        self.hot, self.merge = hot, merge
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.hot.get(unit)
+        if found is None:
+            found = self.merge(unit)
+            if len(self) < HELD:
+                self[unit] = found
+        return found
 
 
-def _encode(path: str):
+def _encode(table: str, rest: str, pieces):
+    """Ids of the texts, and whether they decode to them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, unpack = _hot_table(path), zstandard.ZstdDecompressor()
+        hot, own, rules = _hot_table(table), _rest_table(rest, TaskContext.get().partitionId()), pieces.value
+        known = _Known(hot, own, lambda u: np.array(heap_merge(u, rules["table"], rules["first_byte"]), np.int32).tobytes())
         for b in batches:
-            texts, ids = [], []
-            for packed, rest in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                text = unpack.decompress(packed).decode()
-                own = {r["unit"]: np.array(r["ids"], np.int32).tobytes() for r in rest or ()}
-                ids.append(np.frombuffer(b"".join([hot[u] if u in hot else own[u] for u in units(text)]), np.int32))
-                texts.append(text)
-            offsets = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(texts, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "text", "ids"])
+            coded, same = [], []
+            for text in b.column(1).to_pylist():
+                ids = b"".join(map(known.__getitem__, units(text)))
+                coded.append(ids)
+                same.append(decode_ids(np.frombuffer(ids, np.int32).tolist(), rules["as_bytes"]) == text.replace(BLANK_SIGN, " "))
+            offsets = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(same, pa.bool_())], ["id", "ids", "round_trip"])
 
     return run
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id, text, ids) per document; null text comes back empty."""
-    ship_package(docs.sparkSession)
+    """(id, ids, round_trip) per document; round_trip: the ids decode to the text."""
+    spark = ship_package(docs.sparkSession)
     pieces = Pieces(path)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    often = cut_lineage(encode_units(hot_units(rows.select("text"), hot), pieces))
-    folder = often.inputFiles()
-    table = folder[0].rsplit("/", 1)[0] if folder else None
-    if table is None:
+    often = cut_lineage(encode_short(hot_units(rows.select("text"), hot), pieces))
+    files = often.inputFiles()
+    if not files:
         raise RuntimeError("the table of hot units was not written")
-    keyed = rows.select("id", F.xxhash64("text").alias("key"), "text")
-    rest = keyed.select("key", "text").mapInArrow(_rest_units(table), "key bigint, unit string").repartition("unit")
-    known = encode_units(rest.select("unit").distinct(), pieces)
-    back = rest.join(known, "unit").groupBy("key").agg(F.collect_set(F.struct("unit", "ids")).alias("rest"))
+    table = files[0].rsplit("/", 1)[0]
+    longest = LONG if pieces.bpe else 1 << 30  # longer ones are merged where they stand
+    # landed, as both sides of the join read it and the scan would run for each
+    met = cut_lineage(rows.select("text").mapInArrow(_rest_units(table, longest), "part int, unit string"))
+    rest = met.repartition(partitions(spark), "unit")
+    known = encode_short(met.select("unit").distinct(), pieces)
+    folder = f"{shared_folder(spark)}/units-{uuid.uuid4().hex}"
+    rest.join(known, "unit").repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(folder)
+    discard(met)
+    shared = spark.sparkContext.broadcast(
+        {"table": {p: (i, s) for p, i, s in pieces.rows}, "first_byte": pieces.first_byte, "as_bytes": pieces.as_bytes})
     kind = rows.schema["id"].dataType.simpleString()
-    packed = keyed.mapInArrow(_pack, f"id {kind}, key bigint, packed binary")
-    return packed.join(back, "key", "left").select("id", "packed", "rest").mapInArrow(_encode(table), f"id {kind}, text string, ids array<int>")
+    return rows.mapInArrow(_encode(table, folder, shared), f"id {kind}, ids array<int>, round_trip boolean")
+
+
+def decode_ids(ids: list[int], as_bytes: list[bytes]) -> str:
+    """The text of the pieces without the leading blank; bytes that are no UTF-8 become U+FFFD."""
+    return b"".join(map(as_bytes.__getitem__, ids))[1:].decode(errors="replace")
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """Adds `decoded`, the text of the pieces without the leading blank; bytes that are no UTF-8 become U+FFFD."""
+    """Adds `decoded`, the text of the pieces; null ids are none."""
     spark = ship_package(encoded.sparkSession)
     table = spark.sparkContext.broadcast(Pieces(path).as_bytes)
 
     @F.pandas_udf("string")
     def text(ids):
-        get = table.value.__getitem__
-        return ids.map(lambda i: b"".join(map(get, i))[1:].decode(errors="replace"))
+        return ids.map(lambda i: decode_ids([] if i is None else i.tolist(), table.value))
 
     return encoded.withColumn("decoded", text(F.col(ids_col)))
 
@@ -324,6 +385,5 @@ def model_path(path: str | None = None) -> str:
 
 def piece_rows(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = model_path(path)
-    coded = decode(encode(read(spark, sf_dir, "documents"), path), path)
-    same = F.col("decoded") == F.replace("text", F.lit(BLANK_SIGN), F.lit(" "))
-    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_pieces"), "ids", same.alias("round_trip"))
+    coded = encode(read(spark, sf_dir, "documents"), path)
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_pieces"), "ids", "round_trip")

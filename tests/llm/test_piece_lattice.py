@@ -25,7 +25,7 @@ def pieces():
 
 def test_units_join_to_the_text(pieces):
     for text in STRANGE:
-        assert "".join(pl.units(text)) == "▁" + text.replace(" ", "▁")
+        assert "".join(pl.units(text)) == " " + text.replace("▁", " ")
 
 
 def test_units_equal_heap_and_library(spark, library, pieces):
@@ -33,8 +33,8 @@ def test_units_equal_heap_and_library(spark, library, pieces):
     got = {r.unit: list(r.ids) for r in pl.encode_units(spark.createDataFrame([(w,) for w in words], "unit string"), pieces).collect()}
     table = {p: (i, s) for p, i, s in pieces.rows}
     assert got == {w: pl.heap_merge(w, table, pieces.first_byte) for w in words}
-    plain = [w for w in words if w.startswith("▁") and "▁" not in w[1:]]
-    assert len(plain) > 5 and all(got[w] == library.encode(w[1:]) for w in plain if w != "▁")
+    plain = [w for w in words if w.startswith(" ") and " " not in w[1:]]
+    assert len(plain) > 5 and all(got[w] == library.encode(w[1:]) for w in plain if w != " ")
 
 
 @settings(max_examples=300, deadline=None)
@@ -49,9 +49,43 @@ def test_texts_equal_library(spark, docs, odd, library, hot):
     rows = odd + [(100 + i, t) for i, t in enumerate(STRANGE)] + [(100, "a"), (100, "another of the same id")]
     coded = pl.decode(pl.encode(docs(rows), PATH, hot=hot), PATH).collect()
     assert len(coded) == len(rows)
-    want = sorted((str(i), t or "", library.encode(t or "")) for i, t in rows)
-    assert sorted((str(r.id), r.text, list(r.ids)) for r in coded) == want
-    assert all(r.decoded == library.decode(list(r.ids)) == r.text.replace("▁", " ") for r in coded)
+    want = sorted((str(i), (t or "").replace("▁", " "), library.encode(t or "")) for i, t in rows)
+    assert sorted((str(r.id), r.decoded, list(r.ids)) for r in coded) == want
+    assert all(r.round_trip and r.decoded == library.decode(list(r.ids)) for r in coded)
+
+
+def test_no_unit_is_merged_in_place_on_a_stored_table(spark, monkeypatch):
+    """Every encoding comes from the lattice: with the fallback broken the result is the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = pl.encode(docs, PATH, hot=100).select("id", "ids").collect()
+    run = pl._encode
+
+    def broken(table, rest, pieces):
+        inner = run(table, rest, pieces)
+
+        def check(batches):
+            import newsquant.llm.piece_lattice as worker
+
+            merge = worker.heap_merge
+
+            def fail(unit, *rules):
+                assert len(unit) > worker.LONG, "merged in place"
+                return merge(unit, *rules)
+
+            worker.heap_merge = fail
+            return inner(batches)
+
+        return check
+
+    monkeypatch.setattr(pl, "_encode", broken)
+    got = pl.encode(docs, PATH, hot=100).select("id", "ids").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_other_rows_are_merged_in_place(spark, docs, library):
+    rows = [(i, f"word{i} thntblere enverstach {i}") for i in range(40)]
+    coded = pl.encode(docs(rows).repartition(5).orderBy("doc_id"), PATH, hot=0).collect()
+    assert {r.id: list(r.ids) for r in coded} == {i: library.encode(t) for i, t in rows}
 
 
 def test_query(spark, library, sf):
@@ -64,14 +98,14 @@ def test_query(spark, library, sf):
 
 
 def test_viterbi_equals_brute_force(spark):
-    rows = [("a", 1, -2.0), ("b", 2, -2.5), ("ab", 3, -3.0), ("ba", 4, -3.1), ("aba", 5, -6.5), ("▁", 6, -1.0), ("▁a", 7, -2.2), ("bb", 8, -4.0)]
+    rows = [("a", 1, -2.0), ("b", 2, -2.5), ("ab", 3, -3.0), ("ba", 4, -3.1), ("aba", 5, -6.5), ("_", 6, -1.0), ("_a", 7, -2.2), ("bb", 8, -4.0)]
 
     class Table:
         longest, first_byte, bpe = 3, 1000, False
 
     Table.rows = rows
     table = {p: (i, s) for p, i, s in rows}
-    words = ["▁" + "".join(x) for n in range(1, 6) for x in itertools.product("ab", repeat=n)]
+    words = ["_" + "".join(x) for n in range(1, 6) for x in itertools.product("ab", repeat=n)]
     frame = spark.createDataFrame([(w,) for w in words], "unit string")
     Table.frame = lambda self, s: s.createDataFrame(rows, "piece string, id int, score double")
 
