@@ -224,7 +224,7 @@ def holdout_svm(spark, sf_dir):
     merged, columns = _impact_panel(spark, sf_dir)
     data = classify.assemble(merged, columns).select(
         F.concat("symbol", F.col("day").cast("string")).alias("id"), "features", (F.col("class") > 0).cast("int").alias("label"))
-    return classify.holdout_svm(data, times=100)
+    return classify.holdout_svm(data, times=20)
 
 
 @query("lasso_cv")
