@@ -250,13 +250,17 @@ def simhash_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; columns as they came.
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One document of each group (id, component) stays, the one with the smallest id; columns as they came.
 
     Documents without id cannot be named as copies and stay. Of rows that
     repeat the smallest id, one of each text stays.
     """
-    groups = near_groups(docs)
     chosen = groups.filter(F.col("id") == F.col("component")).select(F.col("id").alias("__id")).distinct()
     first = docs.join(chosen, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "text"])
     return first.unionByName(docs.filter("doc_id is null"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each group stays."""
+    return first_of_groups(docs, near_groups(docs))
