@@ -59,3 +59,29 @@ def test_query_finds_whole_items_only_where_they_are(spark):
 def test_plan_has_no_python(spark):
     plan = tl.leak_rows(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_values_of_another_length_and_moved_words(spark, sf):
+    words = QUESTION.split()
+    docs = [
+        (1, prose(1) + ". " + QUESTION.replace("Smith", "John Smith") + ". " + prose(2)),
+        (2, prose(3) + ". " + QUESTION.replace("12", "12 000")), (3, " ".join([*words[:11], "so", *words[11:]])),
+        (4, " ".join(words[:12] + words[13:])), (5, QUESTION.replace("farmer Smith", "farmer John Smith").replace("then Smith", "then Brown")),
+    ]
+    got = verdicts(spark, sf, docs, [(1, QUESTION)])
+    assert {d for d in got if got[d]} == {1, 2, 3, 4}
+
+
+def test_items_of_placeholders_and_short_items(spark, sf):
+    german = ("Im alten Haus steht der Tisch neben dem Schrank und vor dem Fenster liegt die Katze auf dem Teppich mit der Maus "
+              "unter dem Stuhl")
+    sums = "Add 3 to 4 and 5 to 6 and 7 to 8 and 9 to 10 and 11 to 12"
+    names = "the Ship from Rome to Oslo via Bern by Anna"
+    items = [(1, german), (2, sums), (3, "How old is Peter now"), (4, "What is the capital of old France"), (5, names + " was late")]
+    docs = [
+        (1, prose(1) + ". " + german + ". " + prose(2)), (2, prose(3) + ". " + sums), (3, sums.replace("3", "33").replace("7", "99")),
+        (4, "Ask: How old is Peter now? " + prose(4)), (5, "How old is Karl now"), (6, prose(5) + ". What is the capital of old Sweden? " + prose(6)),
+        (7, "they took " + names + " again"),
+    ]
+    got = verdicts(spark, sf, docs, items)
+    assert got == {1: [1], 2: [2], 3: [], 4: [3], 5: [], 6: [4], 7: []}
