@@ -83,3 +83,23 @@ def test_mask(spark, docs, odd):
 def test_plan_has_no_python(spark):
     plan = es.secret_rows(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+KEY = "Zx81Qp0LmN4vB7tYc2Rk9Wd3HfJs6GuA"
+LETTERS = "QzXbVnKfWpRjTyGhLmDcSaBe"
+
+
+def test_keys_beside_other_spans_and_without_digits(spark, docs):
+    uuid, sample = "123e4567-e89b-42d3-a456-426614174000", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    rows = [
+        (1, f"see /webhooks/123456789012345678/{KEY} é"), (2, f"/0123456789abcdef/{KEY}"), (3, f"x {KEY}EXAMPLE{KEY} y"),
+        (4, f"k {LETTERS} end"), (5, f"k {sample} end"), (6, f"{uuid}/{KEY}"), (7, "Verantwortungsbewusstseinsfragen und donaudampfschifffahrt"),
+        (8, f"sha256-{'Ab3' * 14}x= ok"), (9, f"sha256-{KEY * 3}"),
+    ]
+    got = {r.doc_id: r.text for r in es.mask_secrets(docs(rows)).collect()}
+    assert got[1].startswith("see ") and "<hex>" in got[1] and got[1].endswith("<entropy> é")
+    assert "<hex>" in got[2] and got[2].endswith("<entropy>")
+    assert got[4] == "k <entropy> end" and got[6].endswith("<entropy>") and got[6].startswith(uuid)
+    assert all(KEY not in t and LETTERS not in t for t in got.values())
+    same = dict(rows)
+    assert all(got[i] == same[i] for i in (5, 7, 8))
