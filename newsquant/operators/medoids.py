@@ -9,6 +9,7 @@ from counts per (cluster, column, value), which are small beside the rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,17 +87,20 @@ def seed_medoids(events: DataFrame, k: int, order: str, numeric: Sequence[str] =
     return freeze(seeds.withColumnRenamed("i", "cluster_id"))
 
 
-def kmedoids(events: DataFrame, k: int, order: str, max_iter: int = 10, numeric: Sequence[str] = tuple(MINI_NUMERIC),
+def kmedoids(events: DataFrame, k: int, order: str, max_iter: int | None = None, numeric: Sequence[str] = tuple(MINI_NUMERIC),
              category: Sequence[str] = tuple(MINI_CATEGORY), id_col: str = "event_id") -> tuple[DataFrame, DataFrame]:
     """Assign and update until no medoid changes: `(medoids, history)`.
 
+    With `max_iter`, medoids that still change in that round are an error.
     The events are landed once. Only the K medoids pass from one round to the
     next, as a small local table, so no plan contains earlier rounds.
     """
     columns = [id_col, *numeric, *category]
     events = cut_lineage(events)
     medoids, history = seed_medoids(events, k, order, numeric, category, id_col), None
-    for step in range(max_iter):
+    for step in count():
+        if step == max_iter:
+            raise RuntimeError(f"medoids still change after {max_iter} rounds")
         assigned = cut_lineage(assign_mixed(events, medoids, numeric, category, id_col))  # read three times below
         found = freeze(medoid_step(assigned, numeric, category, id_col, medoids))
         discard(assigned)
