@@ -15,6 +15,7 @@ from newsquant.llm.piece_lattice import piece_rows
 from newsquant.llm.simhash_slices import simhash_rows
 from newsquant.llm.template_leaks import leak_rows
 from newsquant.llm.token_counts import token_rows
+from newsquant.llm.turn_repair import repair_rows
 from newsquant.llm.warc_zstd import warc_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_entropy_secrets": secret_rows,
     "op9_lpf_dedup": repeat_rows,
     "op10_simhash_slices": simhash_rows,
+    "op11_turn_repair": repair_rows,
 }
 
 ORACLES: dict[str, str] = {}

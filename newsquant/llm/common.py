@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsquant.session import ship_package
+from newsquant.session import shared_folder, ship_package
 
 #: Word separators of the contracts: space and the ASCII controls from tab to carriage return.
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -18,6 +18,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """The shared folder as Spark's file systems resolve it, in the form that `pyarrow.fs` opens in the workers."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    scheme, rest = uri.split(":", 1)
+    return f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+
+
 def text_of(column: str | Column) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
