@@ -10,6 +10,7 @@ from newsquant.llm.chat_events import chat_rows
 from newsquant.llm.context_mixing import lm_rows
 from newsquant.llm.decision_lists import quality_rows
 from newsquant.llm.entropy_secrets import secret_rows
+from newsquant.llm.keyed_shards import shard_rows
 from newsquant.llm.lpf_dedup import repeat_rows
 from newsquant.llm.piece_lattice import piece_rows
 from newsquant.llm.simhash_slices import simhash_rows
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lpf_dedup": repeat_rows,
     "op10_simhash_slices": simhash_rows,
     "op11_turn_repair": repair_rows,
+    "op12_keyed_shards": shard_rows,
 }
 
 ORACLES: dict[str, str] = {}
