@@ -17,6 +17,7 @@ from newsquant.llm.simhash_slices import simhash_rows
 from newsquant.llm.template_leaks import leak_rows
 from newsquant.llm.token_counts import token_rows
 from newsquant.llm.turn_repair import repair_rows
+from newsquant.llm.vector_codes import code_rows
 from newsquant.llm.warc_zstd import warc_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_slices": simhash_rows,
     "op11_turn_repair": repair_rows,
     "op12_keyed_shards": shard_rows,
+    "op13_equal_average": code_rows,
 }
 
 ORACLES: dict[str, str] = {}
