@@ -12,9 +12,8 @@ refused but for one in 2^32.
 Only what committed tasks report counts: files of lost or repeated attempts have
 names of their own that no manifest holds. The driver sees one row per file.
 
-Texts are cut at ASCII blanks before encoding. The vocabulary's own splitting
-drops white space and never joins across it, so the ids are those of the whole
-text, and words met before need not be merged again.
+Texts are cut into pieces where the vocabulary's own rules cut them, so the ids
+are those of the whole text, and pieces met before need not be encoded again.
 
 Defined results: null text is empty (one end id); special strings inside texts
 are the library's special ids; documents without id come first; documents of
@@ -28,10 +27,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsquant.llm.common import read, shared_uri, text_of
+from newsquant.llm.token_counts import byte_letters
 from newsquant.session import cut_lineage, ship_package
 
 END_ID = 2
@@ -48,12 +50,18 @@ SHARD_BYTES = 1 << 28
 PART_KEYS = 1 << 16
 #: Bits of a level per key that is left.
 ROOM = 2
-#: Words a worker remembers before it starts afresh, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+#: Pieces a worker remembers before it starts afresh, and the longest of them.
+REMEMBERED, LONGEST = 400_000, 32
 #: Bytes of one read of payloads that lie near each other.
 SPAN = 1 << 22
 
 _WORDS = re.compile("[^ \t-\r]+").findall
+_BEYOND = re.compile("[^\0-\xff]").search
+#: The letter by which the vocabulary writes each byte.
+_BYTES = dict(enumerate(byte_letters()))
+#: The vocabulary's pattern for lowered text of Latin-1 (fixed values: its alternatives, letters, numbers and white space).
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", " \t-\r\x85\xa0"
+_LATIN = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACES}{_LETTERS}{_NUMBERS}]+").findall
 
 
 @dataclass
@@ -82,36 +90,59 @@ def _bytes(uri: str) -> bytes:
         return f.read()
 
 
-class Encoder:
-    """Ids of whole texts as bytes, by the tokenizers library."""
+class Encoder(dict):
+    """Ids of pieces of text as bytes, by the tokenizers library; those met before are remembered."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
         self.type = f"<u{self.width}"
         self.end = np.array([end_id], self.type).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        coded = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, self.type).tobytes() for w, e in zip(words, coded, strict=True)}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """One value per text, the end id included."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        cut = [_WORDS(t) for t in texts]
-        new = list({w for words in cut for w in words}.difference(self.known))
-        here = {}
-        for i in range(0, len(new), 1 << 13):
-            coded = self.learn(new[i:i + (1 << 13)])
-            here.update(coded)
-            self.known.update((w, c) for w, c in coded.items() if len(w) <= LONGEST)
-        both = self.known if len(here) == 0 else self.known | here
-        for words in cut:
-            yield b"".join(map(both.__getitem__, words)) + self.end
+
+    def __missing__(self, piece: str) -> bytes:
+        """Pieces of Latin-1 are what the vocabulary's splitting gives and go to its merges, whole words through the whole tokenizer."""
+        if piece[-1] == " " or _BEYOND(piece):
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        else:
+            plain = piece.isascii() and piece.isprintable()
+            ids = [t.id for t in self.merge(piece if plain else piece.encode().decode("latin-1").translate(_BYTES))]
+        coded = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = coded
+        return coded
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text and the end id."""
+        return b"".join(map(self.__getitem__, pieces(text))) + self.end
+
+
+@lru_cache(1)
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per worker, kept from task to task."""
+    return Encoder(path, end_id)
+
+
+def pieces(text: str) -> list[str]:
+    """Parts of a text that the vocabulary's rules encode alone as they do in place.
+
+    Letters of Latin-1 are in normal form, so there its pattern can be applied
+    to the lowered text directly. Words with other characters, or with what may
+    be a special string, are left whole; a blank after one tells it from a piece.
+    """
+    if "<|" not in text and not _BEYOND(text):
+        return _LATIN(text.lower())
+    out = []
+    for word in _WORDS(text):
+        if "<|" in word or _BEYOND(word):
+            out.append(word + " ")
+        else:
+            out += _LATIN(word.lower())
+    return out
 
 
 class _Shard:
@@ -123,18 +154,18 @@ class _Shard:
 
 def _writer(folder: str, path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, seq = Encoder(path, end_id), None, -1
+        coder, shard, seq = encoder(path, end_id), None, -1
         task = TaskContext.get().partitionId()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
                 rows = []
-                for ids in encoder.encode(part.column(1).to_pylist()):
+                for ids in map(coder.encode, part.column(1).to_pylist()):
                     if shard is None or shard.bytes >= SHARD_BYTES:
                         if shard is not None:
                             shard.out.close()
                         shard, seq = _Shard(folder), seq + 1
-                    rows.append((task, seq, shard.path, shard.docs, shard.bytes // encoder.width, len(ids) // encoder.width))
+                    rows.append((task, seq, shard.path, shard.docs, shard.bytes // coder.width, len(ids) // coder.width))
                     shard.out.write(ids)
                     shard.bytes += len(ids)
                     shard.docs += 1
@@ -302,7 +333,7 @@ def build(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None =
     files = keys.select(part_of(F.col("digest"), parts).alias("part"), "digest", "shard", "offset", "n_tokens").groupBy("part").applyInArrow(
         _part_writer(folder), "part int, path string").collect()
     paths = dict(map(tuple, files))
-    layout = Layout(folder, Encoder(path, end_id).width, shards, [paths.get(i, "") for i in range(parts)])
+    layout = Layout(folder, encoder(path, end_id).width, shards, [paths.get(i, "") for i in range(parts)])
     layout.save()
     return layout, keys.select("doc_id", "copy")
 
