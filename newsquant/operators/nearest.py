@@ -43,10 +43,9 @@ def _scan(total: int, k: int) -> Iterator[slice]:
         yield slice(lo, lo + step)
 
 
-def _gather_udf(spark, ids: np.ndarray, base: np.ndarray, tables: list[np.ndarray], centres: np.ndarray,
-                scale: np.ndarray, squared: bool):
-    """Distance = base + looked-up category terms + numeric terms, minimised over centres."""
-    shared = spark.sparkContext.broadcast((ids, base, tables, centres, scale))
+def _gather_udf(spark, model: tuple, squared: bool):
+    """Distance = base + looked-up category terms + numeric terms + dense block, minimised over centres."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(_RESULT)
     def nearest(codes: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,10 +64,15 @@ def once(udf):
 
 def _gather(pdf: pd.DataFrame, model: tuple, squared: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index of the nearest centre and its distance (squared if asked) for coded rows."""
-    ids, base, tables, centres, scale = model
-    n_cat = len(tables)
+    ids, base, tables, centres, scale, block = model
+    n_cat, n_num = len(tables), centres.shape[1]
     cat = pdf.iloc[:, :n_cat].to_numpy(dtype=np.int64)
-    num = pdf.iloc[:, n_cat:].to_numpy(dtype=float)
+    num = pdf.iloc[:, n_cat:n_cat + n_num].to_numpy(dtype=float)
+    if block is not None:
+        c, width = block
+        columns = [np.stack(pdf.iloc[:, j].to_numpy()) for j in range(n_cat + n_num, pdf.shape[1])] if len(pdf) else []
+        dense = np.concatenate(columns, axis=1) / width if columns else np.zeros((0, len(width)))
+        own, norms = (dense * dense).sum(axis=1), (c * c).sum(axis=1)
     label = np.empty(len(pdf), dtype=np.int64)
     dist = np.empty(len(pdf))
     for part in _scan(len(pdf), len(ids)):
@@ -78,6 +82,8 @@ def _gather(pdf: pd.DataFrame, model: tuple, squared: bool) -> tuple[np.ndarray,
         for j in range(num.shape[1]):
             gap = num[part, j][:, None] / scale[j] - centres[:, j][None, :]
             d += gap * gap if squared else np.abs(gap)
+        if block is not None:
+            d += own[part][:, None] - 2 * dense[part] @ c.T + norms[None, :]
         label[part], dist[part] = _pick(d)
     return label, dist
 
@@ -89,14 +95,15 @@ def assign_expanded(df: DataFrame, lay: Layout, stats: DataFrame, centroids: Dat
     `stats` is `slot_stats`. The standardised vector is dense, so it is never
     built: |z - c|^2 is the distance of the all-zero event plus one table
     look-up per category, i.e. ten additions per centroid, not `width`.
+    Dense blocks (name vectors) add one matrix product.
     """
     model = _expanded_model(lay, stats, centroids)
-    udf = _gather_udf(df.sparkSession, *model, squared=True)
+    udf = _gather_udf(df.sparkSession, model, squared=True)
     return _with_result(df, udf(F.struct(*_expanded_inputs(lay))))
 
 
 def _expanded_model(lay: Layout, stats: DataFrame, centroids: DataFrame) -> tuple:
-    """(ids, base, tables, centres, scale) of a model over standardised one-hot slots."""
+    """(ids, base, tables, centres, scale, dense block) of a model over standardised one-hot slots."""
     stat = sorted(stats.collect(), key=lambda r: r["slot"])  # `width` rows
     mean, std = np.array([r["mean"] for r in stat]), np.array([r["std"] for r in stat])
     rows = model_rows(centroids, lay.width, "cluster_id")
@@ -112,7 +119,9 @@ def _expanded_model(lay: Layout, stats: DataFrame, centroids: DataFrame) -> tupl
         tables.append(np.vstack([np.zeros(len(c)), change.T]))  # row 0 = missing
     slots = [at for _, at in lay.numerics]
     centres = c[:, slots] + (mean / std)[slots]
-    return ids, base, tables, centres, std[slots]
+    wide = [s for r, at in lay.vectors for s in range(at, at + r.size)]
+    block = (c[:, wide] + (mean / std)[wide], std[wide]) if wide else None
+    return ids, base, tables, centres, std[slots], block
 
 
 def _expanded_inputs(lay: Layout) -> list[Column]:
@@ -124,7 +133,8 @@ def _expanded_inputs(lay: Layout) -> list[Column]:
         return F.when(c.between(1, r.size), c).when(c > r.size, beyond).otherwise(0).cast("int").alias(r.name)
 
     return [code(r) for r, _ in lay.categories] + [
-        F.coalesce(F.col(r.name).cast("double"), F.lit(0.0)).alias(r.name) for r, _ in lay.numerics]
+        F.coalesce(F.col(r.name).cast("double"), F.lit(0.0)).alias(r.name) for r, _ in lay.numerics] + [
+        F.col(r.name).cast("array<double>").alias(r.name) for r, _ in lay.vectors]
 
 
 def assign_mixed(df: DataFrame, medoids: DataFrame, numeric=tuple(MINI_NUMERIC), category=tuple(MINI_CATEGORY),
@@ -146,7 +156,7 @@ def assign_mixed(df: DataFrame, medoids: DataFrame, numeric=tuple(MINI_NUMERIC),
                 t[known.index(str(r[c])) + 1, k] = 0.0
         values.append(known)
         tables.append(t)
-    udf = _gather_udf(df.sparkSession, ids, np.zeros(len(rows)), tables, centres, np.ones(len(numeric)), squared=False)
+    udf = _gather_udf(df.sparkSession, (ids, np.zeros(len(rows)), tables, centres, np.ones(len(numeric)), None), squared=False)
     inputs = []
     for c, known in zip(category, values):
         listed = F.array(*[F.lit(v) for v in known]) if known else F.array().cast("array<string>")
@@ -228,6 +238,8 @@ def event_centroids(seeds: DataFrame, lay: Layout, stats: DataFrame) -> DataFram
             v = row[r.name]
             if r.kind == "numeric":
                 x[at] = v or 0.0
+            elif r.kind == "vector":
+                x[at:at + r.size] = v
             elif v is not None and 1 <= v <= r.size:
                 x[at + v - 1] = 1.0
         out.append((row["i"], ((x - mean) / std).tolist()))
