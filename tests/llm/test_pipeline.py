@@ -5,7 +5,7 @@ import sentencepiece
 import corpus_pipeline
 from newsquant.llm import decision_lists, entropy_secrets, piece_lattice, template_leaks
 from tests.llm.test_entropy_secrets import added, base
-from tests.llm.test_simhash_slices import brute as groups
+from tests.llm.test_shingle_overlap import brute as groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,7 @@ def test_stages():
 def test_run_equals_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = {r.doc_id for r in decision_lists.quality_rows(spark, SF).collect() if r.kept}
-    first = {c for _, _, c in groups([(d, texts[d]) for d in sorted(kept)])}
+    first = {c for _, c in groups([(d, texts[d]) for d in sorted(kept)])}
     leaked = {r.doc_id for r in template_leaks.leak_rows(spark, SF).collect() if r.contaminated}
     library = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.model_path())
     want = {d: library.encode(masked(texts[d])) for d in first - leaked}
