@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsquant.functions import hosts
 from newsquant.schema import STOP_WORDS
 
 
@@ -74,22 +75,13 @@ def well_formed(columns: Sequence, max_empty: int = 5) -> Column:
     return empty_fields(columns) <= max_empty
 
 
-# Second-level labels that belong to the suffix when the last label is a country code; a caller may pass a longer list.
-SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
-
-
 def url_host(url) -> Column:
-    return F.lower(F.regexp_extract(_c(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    return hosts.url_host(_c(url))
 
 
-def url_domain(url, second_level=tuple(SECOND_LEVEL)) -> Column:
+def url_domain(url, rules=tuple(hosts.RULES)) -> Column:
     """The label left of the public suffix of a URL's host."""
-    labels = F.split(url_host(url), r"\.")
-    n = F.size(labels)
-    last, second = F.try_element_at(labels, F.lit(-1)), F.try_element_at(labels, F.lit(-2))
-    third = F.try_element_at(labels, F.lit(-3))
-    two_part = (F.length(last) == 2) & second.isin(list(second_level)) & (n >= 3)
-    return F.when(two_part, third).when(n >= 2, second).otherwise(last)
+    return hosts.registered_domain(_c(url), rules)
 
 
 def contains_keyword(text, keyword: str) -> Column:

@@ -8,28 +8,35 @@ from counts per (cluster, column, value), which are small beside the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import count
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsquant.functions.distance import MINI_CATEGORY, MINI_NUMERIC
-from newsquant.operators.nearest import assign_mixed, freeze
+from newsquant.operators.nearest import assign_mixed, freeze, once
 from newsquant.operators.ranking import value_prefix
 from newsquant.session import cut_lineage, discard
 from newsquant.sources.keyed import uniform_keys
 
 
+def _key(column: str, number: bool) -> Column:
+    """A value as text: numbers as they print, categories behind a sign that tells them from null."""
+    if number:
+        return F.col(column).cast("double").cast("string")
+    return F.when(F.col(column).isNull(), "").otherwise(F.concat(F.lit("="), F.col(column)))
+
+
 def _cells(assigned: DataFrame, numeric: Sequence[str], category: Sequence[str], *keep: str) -> DataFrame:
     """One row per event and column: `(keep..., cluster_id, column, key, v)`; `v` is set for numbers."""
     cells = []
     for c in numeric:
-        v = F.col(c).cast("double")
-        cells.append(F.struct(F.lit(c).alias("column"), v.cast("string").alias("key"), v.alias("v")))
+        cells.append(F.struct(F.lit(c).alias("column"), _key(c, True).alias("key"), F.col(c).cast("double").alias("v")))
     for c in category:
-        key = F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c)))
-        cells.append(F.struct(F.lit(c).alias("column"), key.alias("key"), F.lit(None).cast("double").alias("v")))
+        cells.append(F.struct(F.lit(c).alias("column"), _key(c, False).alias("key"), F.lit(None).cast("double").alias("v")))
     return assigned.select(*keep, "cluster_id", F.explode(F.array(*cells)).alias("c")).select(*keep, "cluster_id", "c.*")
 
 
@@ -50,12 +57,60 @@ def value_costs(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC
     )
 
 
+#: Values of a cost table that travel to the tasks; columns with more are joined.
+MAX_CELLS = 2_000_000
+
+
+def _cell_key(column: str, key: Column) -> Column:
+    return F.xxhash64("cluster_id", F.lit(column), key)
+
+
+def _looked_up(assigned: DataFrame, costs: DataFrame, columns: dict[str, Column]) -> Column | None:
+    """Sum of the costs of some columns by look-up in the scan, if no two cells of the table share a hash.
+
+    Every cell of an event is in the table, as the table counts these events,
+    so a hash that is unique in the table cannot stand for another cell.
+    """
+    rows = costs.filter(F.col("column").isin(*columns)).select(F.xxhash64("cluster_id", "column", "key").alias("h"), "cost").toArrow()
+    order = np.argsort(rows["h"].to_numpy())
+    hashes, values = rows["h"].to_numpy()[order], rows["cost"].to_numpy()[order]
+    if (hashes[1:] == hashes[:-1]).any():
+        return None
+    shared = assigned.sparkSession.sparkContext.broadcast((hashes, values))
+
+    @F.pandas_udf("double")
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        known, cost = shared.value
+        for pdf in batches:
+            yield pd.Series(cost[np.searchsorted(known, pdf.to_numpy())].sum(axis=1))
+
+    return once(total)(F.struct(*[_cell_key(c, key).alias(c) for c, key in columns.items()]))
+
+
 def medoid_costs(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC),
                  category: Sequence[str] = tuple(MINI_CATEGORY), id_col: str = "event_id") -> DataFrame:
-    """`(id, cluster_id, cost)`: each row's sum of distances to its own cluster (itself included)."""
+    """`(id, cluster_id, cost)`: each row's sum of distances to its own cluster (itself included).
+
+    Costs of columns with few values are looked up where the rows lie. Only
+    columns whose table is too large to travel give a row per event and are joined.
+    """
     costs = cut_lineage(value_costs(assigned, numeric, category))
-    cells = _cells(assigned, numeric, category, id_col).drop("v")
-    return cells.join(costs, ["cluster_id", "column", "key"]).groupBy(id_col, "cluster_id").agg(F.sum("cost").alias("cost"))
+    sizes = {r["column"]: r["n"] for r in costs.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    small, left = [], MAX_CELLS
+    for c in sorted([*numeric, *category], key=lambda c: sizes.get(c, 0)):
+        left -= sizes.get(c, 0)
+        if left >= 0:
+            small.append(c)
+    keys = {c: _key(c, c in numeric) for c in small}
+    near = _looked_up(assigned, costs, keys) if small else F.lit(0.0)
+    if near is None:
+        small, near = [], F.lit(0.0)
+    near_costs = assigned.select(id_col, "cluster_id", *[c for c in [*numeric, *category] if c not in small], near.alias("_near"))
+    if len(small) == len(numeric) + len(category):
+        return near_costs.select(id_col, "cluster_id", F.col("_near").alias("cost"))
+    cells = _cells(near_costs, [c for c in numeric if c not in small], [c for c in category if c not in small], id_col, "_near").drop("v")
+    joined = cells.join(costs, ["cluster_id", "column", "key"]).groupBy(id_col, "cluster_id")
+    return joined.agg((F.sum("cost") + F.first("_near")).alias("cost"))
 
 
 def medoid_step(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC),
@@ -77,7 +132,7 @@ def medoid_step(assigned: DataFrame, numeric: Sequence[str] = tuple(MINI_NUMERIC
     best = best.select("cluster_id", F.col("m").getField(id_col).alias(id_col), F.col("m.total").alias("total"), "size")
     best = freeze(best)  # one row per cluster, so the events are only filtered by it, not shuffled
     rows = assigned.select(id_col, *numeric, *category)
-    return rows.join(F.broadcast(best), id_col).select("cluster_id", id_col, *numeric, *category, "total", "size")
+    return rows.join(best, id_col).select("cluster_id", id_col, *numeric, *category, "total", "size")
 
 
 def seed_medoids(events: DataFrame, k: int, order: str, numeric: Sequence[str] = tuple(MINI_NUMERIC),

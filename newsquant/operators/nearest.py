@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsquant.functions.distance import MINI_CATEGORY, MINI_NUMERIC
+from newsquant.functions.lookup import code_of
 from newsquant.operators.encode import Layout
 
 # A model larger than this (doubles) is refused: 64 M cells are 512 MB per executor.
@@ -43,16 +44,15 @@ def _scan(total: int, k: int) -> Iterator[slice]:
         yield slice(lo, lo + step)
 
 
-def _gather_udf(spark, model: tuple, squared: bool):
+def _gather_udf(spark, model: tuple):
     """Distance = base + looked-up category terms + numeric terms + dense block, minimised over centres."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(_RESULT)
     def nearest(codes: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in codes:
-            label, dist = _gather(pdf, shared.value, squared)
-            yield pd.DataFrame({"cluster_id": shared.value[0][label].astype("int32"),
-                                "dist": np.sqrt(np.maximum(dist, 0)) if squared else dist})
+            label, dist = _gather(pdf, shared.value)
+            yield pd.DataFrame({"cluster_id": shared.value[0][label].astype("int32"), "dist": np.sqrt(np.maximum(dist, 0))})
 
     return once(nearest)
 
@@ -62,8 +62,8 @@ def once(udf):
     return udf.asNondeterministic()
 
 
-def _gather(pdf: pd.DataFrame, model: tuple, squared: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the nearest centre and its distance (squared if asked) for coded rows."""
+def _gather(pdf: pd.DataFrame, model: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest centre and its squared distance for coded rows."""
     ids, base, tables, centres, scale, block = model
     n_cat, n_num = len(tables), centres.shape[1]
     cat = pdf.iloc[:, :n_cat].to_numpy(dtype=np.int64)
@@ -81,7 +81,7 @@ def _gather(pdf: pd.DataFrame, model: tuple, squared: bool) -> tuple[np.ndarray,
             d += t[cat[part, j]]
         for j in range(num.shape[1]):
             gap = num[part, j][:, None] / scale[j] - centres[:, j][None, :]
-            d += gap * gap if squared else np.abs(gap)
+            d += gap * gap
         if block is not None:
             d += own[part][:, None] - 2 * dense[part] @ c.T + norms[None, :]
         label[part], dist[part] = _pick(d)
@@ -98,7 +98,7 @@ def assign_expanded(df: DataFrame, lay: Layout, stats: DataFrame, centroids: Dat
     Dense blocks (name vectors) add one matrix product.
     """
     model = _expanded_model(lay, stats, centroids)
-    udf = _gather_udf(df.sparkSession, model, squared=True)
+    udf = _gather_udf(df.sparkSession, model)
     return _with_result(df, udf(F.struct(*_expanded_inputs(lay))))
 
 
@@ -137,32 +137,60 @@ def _expanded_inputs(lay: Layout) -> list[Column]:
         F.col(r.name).cast("array<double>").alias(r.name) for r, _ in lay.vectors]
 
 
+def _mixed_model(rows: list, numeric: list[str], category: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[tuple]]:
+    """(ids, numeric centres, values by category, centres that have each value) of the medoids; K entries a category."""
+    ids = np.array([r["cluster_id"] for r in rows])
+    centres = np.array([[float(r[c]) for c in numeric] for r in rows]).reshape(len(rows), len(numeric))
+    values, holders = [], []
+    for c in category:
+        at: dict[str, list[int]] = {}
+        for k, r in enumerate(rows):
+            if r[c] is not None:
+                at.setdefault(str(r[c]), []).append(k)
+        values.append(list(at))
+        ends = np.cumsum([0, 0, *map(len, at.values())])  # code 0, a value no medoid has, holds nothing
+        holders.append((ends, np.array([k for v in at.values() for k in v], dtype=np.int64)))
+    return ids, centres, values, holders
+
+
+def _mixed(codes: np.ndarray, numbers: np.ndarray, centres: np.ndarray, holders: list[tuple]) -> np.ndarray:
+    """Mixed distances of coded rows to all medoids: the categories less those that agree, and the numeric gaps."""
+    d = np.full((len(codes), len(centres)), float(len(holders)))
+    for j in range(numbers.shape[1]):
+        d += np.abs(numbers[:, j][:, None] - centres[:, j][None, :])
+    for j, (ends, order) in enumerate(holders):
+        first, n = ends[codes[:, j]], ends[codes[:, j] + 1] - ends[codes[:, j]]
+        row = np.repeat(np.arange(len(codes)), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        d[row, order[place]] -= 1.0
+    return d
+
+
 def assign_mixed(df: DataFrame, medoids: DataFrame, numeric=tuple(MINI_NUMERIC), category=tuple(MINI_CATEGORY),
                  id_col: str = "event_id") -> DataFrame:
     """Nearest medoid under the mixed distance: adds `cluster_id`, `dist`.
 
-    `medoids` is `(cluster_id, numeric..., category...)`. Only category values
-    that some medoid has need a code, so the look-up tables have at most K + 1 rows.
+    `medoids` is `(cluster_id, numeric..., category...)`. Category values that
+    some medoid has are coded inside the scan; each code leads to the medoids
+    that have it, so the model holds one entry per medoid and column.
     """
     rows = model_rows(medoids, len(numeric) + len(category), "cluster_id")
-    ids = np.array([r["cluster_id"] for r in rows])
-    centres = np.array([[float(r[c]) for c in numeric] for r in rows]).reshape(len(rows), len(numeric))
-    values, tables = [], []
-    for c in category:
-        known = sorted({str(r[c]) for r in rows if r[c] is not None})
-        t = np.ones((len(known) + 1, len(rows)))
-        for k, r in enumerate(rows):
-            if r[c] is not None:
-                t[known.index(str(r[c])) + 1, k] = 0.0
-        values.append(known)
-        tables.append(t)
-    udf = _gather_udf(df.sparkSession, (ids, np.zeros(len(rows)), tables, centres, np.ones(len(numeric)), None), squared=False)
-    inputs = []
-    for c, known in zip(category, values):
-        listed = F.array(*[F.lit(v) for v in known]) if known else F.array().cast("array<string>")
-        inputs.append(F.coalesce(F.array_position(listed, F.col(c).cast("string")), F.lit(0)).cast("int").alias(c))
+    ids, centres, values, holders = _mixed_model(rows, list(numeric), list(category))
+    shared = df.sparkSession.sparkContext.broadcast((ids, centres, holders))
+    inputs = [code_of(known)(F.col(c).cast("string")).cast("int").alias(c) for c, known in zip(category, values)]
     inputs += [F.col(c).cast("double").alias(c) for c in numeric]
-    return _with_result(df, udf(F.struct(*inputs)))
+
+    @F.pandas_udf(_RESULT)
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, centres, holders = shared.value
+        for pdf in batches:
+            codes, numbers = pdf.iloc[:, :len(holders)].to_numpy(dtype=np.int64), pdf.iloc[:, len(holders):].to_numpy(dtype=float)
+            label, dist = np.empty(len(pdf), dtype=np.int64), np.empty(len(pdf))
+            for part in _scan(len(pdf), len(ids)):
+                label[part], dist[part] = _pick(_mixed(codes[part], numbers[part], centres, holders))
+            yield pd.DataFrame({"cluster_id": ids[label].astype("int32"), "dist": dist})
+
+    return _with_result(df, once(nearest)(F.struct(*inputs)))
 
 
 def assign_dense(df: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -205,7 +233,7 @@ def assign_models(df: DataFrame, lay: Layout, models: dict[int, tuple[DataFrame,
     @F.pandas_udf("array<int>")
     def all_nearest(codes: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for pdf in codes:
-            found = [m[0][_gather(pdf, m, True)[0]].astype("int32") for m in shared.value]
+            found = [m[0][_gather(pdf, m)[0]].astype("int32") for m in shared.value]
             yield pd.Series(list(np.stack(found, axis=1)))
 
     out = df.withColumn("_near", once(all_nearest)(F.struct(*_expanded_inputs(lay))))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsquant.functions import events as fn
+from newsquant.functions import hosts
 from newsquant.operators import clean, clusters, encode, nearest, summary
 from newsquant.plans import pipelines as pl
 from newsquant.plans.catalog.registry import query
@@ -200,12 +201,42 @@ def epoch_projection(spark, sf_dir):
     )
 
 
-DOMAIN_SQL = """
-hosts AS (SELECT page_id, url, string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)), '.') AS h
-          FROM pages),
-domains AS (SELECT page_id, url, CASE
-  WHEN len(h) >= 3 AND length(h[-1]) = 2 AND h[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN h[-3]
-  WHEN len(h) >= 2 THEN h[-2] ELSE h[-1] END AS domain FROM hosts)"""
+def domain_sql(source: str) -> str:
+    """Registered domains of `source` (page_id, url) by the suffix rules."""
+    return f"""
+rules AS (SELECT UNNEST({hosts.RULES}) AS rule),
+hosts AS (SELECT page_id, url, rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)', 1)), '.') AS host
+          FROM {source}),
+labels AS (SELECT *, string_split(host, '.') AS h FROM hosts),
+tails AS (SELECT page_id, k, array_to_string(h[len(h) - k + 1:], '.') AS s, array_to_string(h[len(h) - k + 2:], '.') AS parent
+          FROM labels, range(2, {hosts.MAX_LABELS + 1}) t(k) WHERE len(h) >= k),
+sizes AS (SELECT page_id, MAX(CASE WHEN e.rule IS NOT NULL THEN 99 + k WHEN x.rule IS NOT NULL OR w.rule IS NOT NULL THEN k ELSE 1 END) % 100 AS size
+          FROM tails LEFT JOIN rules e ON e.rule = concat('!', s) LEFT JOIN rules x ON x.rule = s LEFT JOIN rules w ON w.rule = concat('*.', parent)
+          GROUP BY 1),
+domains AS (SELECT page_id, url, CASE WHEN len(h) = 1 OR regexp_matches(host, '^([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}$') THEN host
+  WHEN len(h) > COALESCE(size, 1) THEN h[len(h) - COALESCE(size, 1)] ELSE '' END AS domain FROM labels LEFT JOIN sizes USING (page_id))"""
+
+
+DOMAIN_SQL = domain_sql("pages")
+
+# Suffixes of many kinds, dealt out to the pages so that the check meets every rule form.
+SUFFIXES = ["co.uk", "or.jp", "gob.mx", "com", "a.kawasaki.jp", "city.kawasaki.jp", "kawasaki.jp", "shop.ck", "www.ck", "blog.org.au", "me.sch.uk",
+            "com.br.", "gov.unknown", "de", "COM.TR", "jp"]
+_SPREAD_SQL = f"""
+spread AS (SELECT page_id, CASE WHEN page_id % 17 = 0 THEN concat('http://10.1.2.', page_id % 256, ':80/a') WHEN page_id % 19 = 0 THEN 'http://localhost/x'
+  ELSE concat('https://user:p@ss@', string_split(regexp_extract(url, '://([^/]*)', 1), '.')[1], '.', {SUFFIXES}[1 + page_id % {len(SUFFIXES)}], ':8080/x@y?z') END AS url
+  FROM pages),"""
+
+
+@query("registered_domains", "", _SPREAD_SQL + domain_sql("spread"), "SELECT page_id, domain FROM domains")
+def registered_domains(spark, sf_dir):
+    pages = tables.table(spark, sf_dir, "pages").select("page_id", "url")
+    label = F.get(F.split(F.regexp_extract("url", "://([^/]*)", 1), r"\."), F.lit(0))
+    suffix = F.get(F.array(*map(F.lit, SUFFIXES)), (F.col("page_id") % len(SUFFIXES)).cast("int"))
+    url = F.when(F.col("page_id") % 17 == 0, F.concat(F.lit("http://10.1.2."), (F.col("page_id") % 256).cast("string"), F.lit(":80/a"))).when(
+        F.col("page_id") % 19 == 0, "http://localhost/x").otherwise(
+        F.concat(F.lit("https://user:p@ss@"), label, F.lit("."), suffix, F.lit(":8080/x@y?z")))
+    return pages.select("page_id", fn.url_domain(url).alias("domain"))
 
 
 @query("url_domains", "news", DOMAIN_SQL, """
