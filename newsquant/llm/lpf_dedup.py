@@ -44,7 +44,7 @@ from newsquant.session import cut_lineage, ship_package
 
 LENGTH, GRAM = 50, 16
 #: Bytes per numpy pass, stretches a task holds before it passes them on, stretches of one anchor that may meet in one task.
-PASS_BYTES, HELD, SPLIT = 1 << 20, 2_000_000, 20_000
+PASS_BYTES, HELD, SPLIT = 1 << 20, 600_000, 20_000
 _U = np.uint64
 _MIX, _MIX2, _BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0x2545F4914F6CDD1D)
 #: Undoes a factor of _BASE, so that a hash does not depend on where in the pass its bytes lie.
