@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from newsquant.functions.lookup import code_of
+from newsquant.functions.lookup import code_of, let
 
 # Second labels under which countries register names, and rules by wildcard and exception.
 # A whole list in the public format is read by `read_rules`.
@@ -75,4 +75,4 @@ def registered_domain(url: Column, rules: Sequence[str] = tuple(RULES)) -> Colum
         left = F.size(labels) - suffix_labels(labels, rules)
         return F.when(host.isNull() | address | (F.size(labels) == 1), host).when(left > 0, F.get(labels, left - 1)).otherwise("")
 
-    return F.get(F.transform(F.array(url_host(url)), named), F.lit(0))
+    return let(url_host(url), named)

@@ -1,4 +1,4 @@
-"""Look-ups in small constant tables inside column expressions."""
+"""Look-ups in small constant tables, and values named once, inside column expressions."""
 
 from __future__ import annotations
 
@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def code_of(values: Sequence[str]):
     """A function of a text column: the place (from 1) of its value in `values`, 0 for others and null.
 

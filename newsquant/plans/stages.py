@@ -1,8 +1,9 @@
-"""From raw event files to day summaries: land, sample, train, summarise.
+"""From raw event files to scored forecasts: land, sample, train, summarise, evaluate.
 
     python -m newsquant.plans.stages prepare RAW OUT [--symbol XAG] [--lo DAY] [--hi DAY]
     python -m newsquant.plans.stages train CLEANED MODELS --ks 30,100 --per-day 150
     python -m newsquant.plans.stages summarise CLEANED MODELS OUT
+    python -m newsquant.plans.stages evaluate SUMMARIES PRICES OUT --components 3,10,none --window 250
 
 Stages meet in Parquet partitioned by publication day, so each can be rerun
 alone and reads only the columns and days it needs.
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from newsquant.operators import clean, clusters, encode, nearest, sample, summary
-from newsquant.session import build_session
+from newsquant.operators import arma, clean, clusters, dataset, encode, grid, lasso, metrics, nearest, sample, series, summary
+from newsquant.session import build_session, cut_lineage
 from newsquant.sources.events import day_range, read_events, write_stage
+from newsquant.sources.prices import pivot_fields, read_prices
+from newsquant.sources.results import write_results
 
 
 def prepare(spark: SparkSession, raw: str, out: str, symbol: str = "EVERYTHING", lo: str | None = None,
@@ -81,6 +84,65 @@ def summarise(spark: SparkSession, cleaned: str, models: str, out: str, lo: str
     write_stage(summary.day_summary(assigned, "k"), out, ("k", "pub_day"))
 
 
+#: Fields that may hold a series' price, the first one a row has counts.
+PRICE_FIELDS = ["price", "adjusted", "close", "mid_price", "value"]
+MEANS = (5, 10, 30)
+
+
+def price_panel(spark: SparkSession, prices: str, ratios: Sequence[float] = (60.0, 20.0, 20.0)) -> DataFrame:
+    """Price features of all files of a glob: rolling means, returns, next-move label, chronological split.
+
+    Days before the longest mean is full are left out, and so are prices that are not positive.
+    """
+    wide = pivot_fields(read_prices(spark, prices), PRICE_FIELDS)
+    rows = wide.select("symbol", "day", F.coalesce(*PRICE_FIELDS).alias("price")).filter(F.col("price") > 0)
+    rows = series.up_label(series.scaled_log_return(series.log_ret(series.rolling_mean(rows, MEANS))), 1, out="label")
+    return dataset.split_ratio(rows.filter(F.col(f"ma{max(MEANS)}").isNotNull()), ratios)
+
+
+def evaluate(spark: SparkSession, summaries: str, prices: str, out: str, components: Sequence[int | None] = (3, 10, None),
+             window: int = 250, ps: Sequence[int] = (0, 1, 2), qs: Sequence[int] = (0, 1, 2),
+             penalties: Sequence[float] = (0.2, 0.1, 0.05), lasso_clusters: int = 0) -> DataFrame:
+    """Join day summaries with prices, fit and rank the models, and write what they give under `out`.
+
+    `grid`: R2 of price-only and price + news regressions per (symbol, K,
+    components), a text sorted by validation R2. `balance`: label counts per
+    split. `forecasts`: one-step forecasts of ARMA and, for every K, of a lasso
+    on yesterday's news, day by day. `scores`: their error, sign accuracy and,
+    for ARMA, interval coverage, best first within a series. The lasso reads the
+    shares of the `lasso_clusters` lowest cluster numbers and the total, all
+    of them for 0. Returns the scores.
+    """
+    panel = cut_lineage(price_panel(spark, prices))
+    daily = spark.read.parquet(summaries)
+    vectors = summary.flatten_summary(daily, "k").select("k", F.col("pub_day").alias("day"), F.col("vector").alias("news"))
+    both = dataset.join_features(vectors, panel)
+    table = grid.grid_search(both, ["price", *[f"ma{n}" for n in MEANS]], "scaled_log_ret", components)
+    write_results(table, f"{out}/grid", "r2_valid")
+    dataset.class_balance(panel.filter(F.col("label").isNotNull()), "label", ["symbol", "split"]).write.mode("overwrite").parquet(f"{out}/balance")
+
+    walked = arma.arma_forecast(panel, ps, qs, window).select(
+        "symbol", F.concat(F.lit("arma"), F.col("p").cast("string"), F.col("q").cast("string")).alias("model"), "day", "mean", "lo", "hi", "actual")
+    for k in sorted(r["k"] for r in daily.select("k").distinct().collect()):
+        ids = [*range(min(k, lasso_clusters) if lasso_clusters else k), summary.TOTAL]
+        shares = summary.wide_summary(daily.filter(F.col("k") == k), ids).withColumnRenamed("pub_day", "day")
+        columns = [c for c in shares.columns if c != "day"]
+        rows = panel.select("symbol", "day", "log_ret").join(shares, "day", "left").fillna(0.0, columns)
+        lagged = rows.select("symbol", "day", "log_ret", F.lag("log_ret").over(series.by_day()).alias("lag1"),
+                             *[F.lag(c).over(series.by_day()).alias(c) for c in columns])
+        sparse = lasso.lasso_forecast(lagged, ["lag1", *columns], "log_ret", window, penalties)
+        name = F.concat_ws("-", F.lit(f"lasso-k{k}"), F.col("penalty").cast("string"))
+        none = F.lit(None).cast("double")
+        walked = walked.unionByName(sparse.select("symbol", name.alias("model"), "day", F.col("pred").alias("mean"), none.alias("lo"), none.alias("hi"), "actual"))
+    walked.write.mode("overwrite").partitionBy("model").parquet(f"{out}/forecasts")
+    walked = spark.read.parquet(f"{out}/forecasts")
+    scores = metrics.regression_metrics(walked, "actual", "mean", ["symbol", "model"]).join(
+        metrics.interval_coverage(walked.filter("lo is not null"), "actual", "lo", "hi", ["symbol", "model"]), ["symbol", "model"], "left")
+    ranked = metrics.rank_results(scores, "sign_accuracy", ["mae", "symbol", "model"])
+    ranked.coalesce(1).write.mode("overwrite").parquet(f"{out}/scores")
+    return spark.read.parquet(f"{out}/scores")
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     stages = parser.add_subparsers(dest="stage", required=True)
@@ -99,6 +161,14 @@ def main(argv: Sequence[str] | None = None) -> None:
     s.add_argument("cleaned")
     s.add_argument("models")
     s.add_argument("out")
+    e = stages.add_parser("evaluate")
+    e.add_argument("summaries")
+    e.add_argument("prices")
+    e.add_argument("out")
+    e.add_argument("--components", default="3,10,none")
+    e.add_argument("--window", type=int, default=250)
+    e.add_argument("--penalties", default="0.2,0.1,0.05")
+    e.add_argument("--lasso-clusters", type=int, default=0)
     for q in (p, s):
         q.add_argument("--lo")
         q.add_argument("--hi")
@@ -108,6 +178,10 @@ def main(argv: Sequence[str] | None = None) -> None:
         prepare(spark, a.raw, a.out, a.symbol, a.lo, a.hi, a.event_codes, a.country_codes)
     elif a.stage == "train":
         train(spark, a.cleaned, a.models, [int(k) for k in a.ks.split(",")], a.per_day).show()
+    elif a.stage == "evaluate":
+        components = [None if n == "none" else int(n) for n in a.components.split(",")]
+        evaluate(spark, a.summaries, a.prices, a.out, components, a.window, penalties=[float(v) for v in a.penalties.split(",")],
+                 lasso_clusters=a.lasso_clusters).show()
     else:
         summarise(spark, a.cleaned, a.models, a.out, a.lo, a.hi)
 

@@ -32,6 +32,40 @@ def test_raw_files_to_day_summaries(spark, tmp_path):
     assert {r["n"] for r in got.select("n").distinct().collect()} == {30}
 
 
+def test_price_files_and_summaries_to_ranked_forecasts(spark, tmp_path):
+    import datetime
+    import math
+
+    days = [datetime.date(2014, 1, 1) + datetime.timedelta(i) for i in range(150)]
+    news = [(k, d, c, *[float((i * 7 + c * 3 + j) % 5) for j in range(7)], ((i * 5 + c) % 7) / 7, 30)
+            for k in (2, 3) for i, d in enumerate(days) for c in (-1, *range(k))]
+    from newsquant.schema import IMPORTANCE
+
+    schema = "k int, pub_day date, cluster_id int, " + ", ".join(f"{m} double" for m in IMPORTANCE) + ", share double, n bigint"
+    summaries, out = str(tmp_path / "summaries"), str(tmp_path / "out")
+    spark.createDataFrame(news, schema).write.partitionBy("k", "pub_day").parquet(summaries)
+    folder = tmp_path / "prices"
+    folder.mkdir()
+    walk = [100 * math.exp(0.02 * math.sin(i * 1.3) + 0.001 * ((i * 37) % 11)) for i in range(150)]
+    (folder / "XAG.csv").write_text('"Index" "XAG.USD"\n' + "".join(f'"{d}" {v}\n' for d, v in zip(days, walk)))
+    fields = " ".join(f'"BB.{f}"' for f in ("Open", "High", "Low", "Close", "Volume", "Adjusted"))
+    (folder / "BB.csv").write_text(f'"Index" {fields}\n' + "".join(f'"{d}" 1 2 1 {2 * v} 9 {v + 1}\n' for d, v in zip(days, reversed(walk))))
+
+    panel = {(r.symbol, r.day): r for r in stages.price_panel(spark, str(folder)).collect()}
+    assert len(panel) == 2 * 121 and panel["BB", days[40]].price == walk[109] + 1 and panel["XAG", days[40]].price == walk[40]
+    scores = stages.evaluate(spark, summaries, str(folder), out, [2, None], 60, [0, 1], [0, 1], [0.3, 0.05]).collect()
+    assert {r.symbol for r in scores} == {"XAG", "BB"} and [r.sign_accuracy for r in scores] == sorted((r.sign_accuracy for r in scores), reverse=True)
+    models = {r.model for r in scores if r.symbol == "XAG"}
+    assert {m for m in models if m.startswith("lasso")} == {f"lasso-k{k}-{p}" for k in (2, 3) for p in (0.3, 0.05)} and len(models) == 5
+    assert all((r.coverage is not None) == r.model.startswith("arma") for r in scores)
+    found = spark.read.parquet(f"{out}/forecasts")
+    per = {(r.symbol, r.model): r["count"] for r in found.groupBy("symbol", "model").count().collect()}
+    assert set(per.values()) == {61, 60}  # one day less where a lag is needed
+    grid = spark.read.option("sep", " ").option("header", True).csv(f"{out}/grid").collect()
+    assert len(grid) == 2 * 2 * 2
+    assert spark.read.parquet(f"{out}/balance").groupBy("symbol").sum("n").collect()[0][1] == 120
+
+
 def test_scan_reads_only_needed_columns(spark):
     text = plan(tables.news(spark, SF, "pub_day", "num_mentions").filter("num_mentions > 40"))
     assert "orders.parquet" not in text and "l_extendedprice" not in text.split("== Physical Plan ==")[1]
