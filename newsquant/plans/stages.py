@@ -3,6 +3,7 @@
     python -m newsquant.plans.stages prepare RAW OUT [--symbol XAG] [--lo DAY] [--hi DAY]
     python -m newsquant.plans.stages train CLEANED MODELS --ks 30,100 --per-day 150
     python -m newsquant.plans.stages summarise CLEANED MODELS OUT
+    python -m newsquant.plans.stages stream RAW CLEANED MODELS OUT [--delay-days 2]
     python -m newsquant.plans.stages evaluate SUMMARIES PRICES OUT --components 3,10,none --window 250
 
 Stages meet in Parquet partitioned by publication day, so each can be rerun
@@ -12,7 +13,7 @@ alone and reads only the columns and days it needs.
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from newsquant.session import build_session, cut_lineage
 from newsquant.sources.events import day_range, read_events, write_stage
 from newsquant.sources.prices import pivot_fields, read_prices
 from newsquant.sources.results import write_results
+from newsquant.streaming.day_summary import stream_events, summarise_stream
 
 
 def prepare(spark: SparkSession, raw: str, out: str, symbol: str = "EVERYTHING", lo: str | None = None,
@@ -53,6 +55,17 @@ def prepare(spark: SparkSession, raw: str, out: str, symbol: str = "EVERYTHING",
     write_stage(df, out)
 
 
+def cleaner(spark: SparkSession, cleaned: str, symbol: str = "EVERYTHING") -> Callable[[DataFrame], DataFrame]:
+    """The cleaning of `prepare` with the dictionaries it saved, for batches of a stream."""
+    folder = f"{cleaned.rstrip('/')}.codes"
+
+    def clean_batch(raw: DataFrame) -> DataFrame:
+        codes, countries = (raw.sparkSession.read.parquet(f"{folder}/{name}") for name in ("event_code", "country"))
+        return clean.clean_events(clean.normalise_events(raw), codes, countries, symbol=symbol)
+
+    return clean_batch
+
+
 def train(spark: SparkSession, cleaned: str, models: str, ks: Sequence[int], per_day: int = 150, seed: int = 0,
           max_iter: int = 20) -> DataFrame:
     """Fit one model per K on the same equal-allocation sample; `(k, score)`.
@@ -161,6 +174,10 @@ def main(argv: Sequence[str] | None = None) -> None:
     s.add_argument("cleaned")
     s.add_argument("models")
     s.add_argument("out")
+    w = stages.add_parser("stream")
+    for name in ("raw", "cleaned", "models", "out"):
+        w.add_argument(name)
+    w.add_argument("--delay-days", type=int, default=2)
     e = stages.add_parser("evaluate")
     e.add_argument("summaries")
     e.add_argument("prices")
@@ -178,6 +195,9 @@ def main(argv: Sequence[str] | None = None) -> None:
         prepare(spark, a.raw, a.out, a.symbol, a.lo, a.hi, a.event_codes, a.country_codes)
     elif a.stage == "train":
         train(spark, a.cleaned, a.models, [int(k) for k in a.ks.split(",")], a.per_day).show()
+    elif a.stage == "stream":
+        writer = summarise_stream(stream_events(spark, a.raw), a.models, a.out, encode.layout(), cleaner(spark, a.cleaned), delay_days=a.delay_days)
+        writer.option("checkpointLocation", f"{a.out}/mark").start().awaitTermination()
     elif a.stage == "evaluate":
         components = [None if n == "none" else int(n) for n in a.components.split(",")]
         evaluate(spark, a.summaries, a.prices, a.out, components, a.window, penalties=[float(v) for v in a.penalties.split(",")],
