@@ -1,4 +1,4 @@
-"""Look-ups in small constant tables, and values named once, inside column expressions."""
+"""Look-ups in small constant tables, and values named once, and folds along arrays, inside column expressions."""
 
 from __future__ import annotations
 
@@ -15,6 +15,28 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Values that `scan` appends one by one; longer results are appended in blocks, so the copies stay short.
+BLOCK = 64
+
+
+def scan(items: Column, start: Column, step, emit, kind: str) -> Column:
+    """`emit(state)` after each item as an array of `kind`, the state going from `start` by `step(state, item)`."""
+    def pair(state, path) -> Column:
+        return F.struct(state.alias("s"), path.alias("path"))
+
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc, item):
+        return let(step(acc["s"], item), lambda s: pair(s, F.concat(acc["path"], F.array(emit(s)))))
+
+    def several(acc, block):
+        return let(F.aggregate(block, pair(acc["s"], none), one), lambda d: pair(d["s"], F.concat(acc["path"], F.array(d["path"]))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / BLOCK), F.lit(0)).cast("int")),
+                         lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+    return F.aggregate(blocks, pair(start, F.array().cast(f"array<array<{kind}>>")), several, lambda acc: F.flatten(acc["path"]))
+
+
 def code_of(values: Sequence[str]):
     """A function of a text column: the place (from 1) of its value in `values`, 0 for others and null.
 

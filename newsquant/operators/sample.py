@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsquant.functions.hashing import random_key
-from newsquant.operators.ranking import keyed_first, keyed_rank, top_per_group
+from newsquant.functions.hashing import key_bucket, random_key
+from newsquant.operators.nearest import once
+from newsquant.operators.ranking import ROWS_PER_BUCKET, keyed_first, keyed_rank, top_per_group
 
 
 def sample_per_day(df: DataFrame, n: int, seed: int = 0, day: str = "pub_day", id_col: str = "event_id") -> DataFrame:
@@ -41,13 +46,29 @@ def sample_proportional(df: DataFrame, n: int, seed: int = 0, day: str = "pub_da
 def bootstrap(df: DataFrame, n: int, seed: int = 0, id_col: str = "event_id") -> DataFrame:
     """n draws with replacement, `(draw, row...)`.
 
-    Draw i takes the row whose position in key order is `hash(i) mod N`.
+    Draw i takes the row whose position in key order is `hash(i) mod N`. Rows
+    are counted by key range; each drawn position is led to its range by the
+    counts before it, and only rows of ranges that were drawn are put in order.
     """
-    ranked = keyed_rank(df, [], id_col, seed, rank="_rank")
-    total = df.agg(F.count("*").alias("n")).scalar()
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"))
-    draws = draws.select("draw", (random_key("draw", seed + 1) % total + 1).alias("_rank"))
-    return draws.join(ranked, "_rank").drop("_rank")
+    total = df.count()
+    keyed = df.withColumn("_key", random_key(id_col, seed))
+    keyed = keyed.withColumn("_bucket", key_bucket(F.col("_key"), F.lit(max(1, -(-total // ROWS_PER_BUCKET)))))
+    counts = sorted((r["_bucket"], r["n"]) for r in keyed.groupBy("_bucket").agg(F.count("*").alias("n")).collect())  # one row per range
+    buckets, before = np.array([b for b, _ in counts], dtype=np.int32), np.cumsum([0, *(c for _, c in counts)])
+
+    @F.pandas_udf("bucket int, pos bigint")
+    def routed(ranks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for r in ranks:
+            at = np.searchsorted(before, r.to_numpy(), side="right") - 1
+            yield pd.DataFrame({"bucket": buckets[at], "pos": r.to_numpy() - before[at] + 1})
+
+    if not total:
+        return keyed.select(F.lit(0).cast("bigint").alias("draw"), *df.columns)
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (random_key("id", seed + 1) % total).alias("_rank"))
+    draws = draws.select("draw", once(routed)("_rank").alias("r")).select("draw", F.col("r.bucket").alias("_bucket"), F.col("r.pos").alias("_pos"))
+    touched = keyed.join(draws.select("_bucket").distinct(), "_bucket", "left_semi")
+    pos = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", id_col)).cast("bigint")
+    return draws.join(touched.withColumn("_pos", pos), ["_bucket", "_pos"]).select("draw", *df.columns)
 
 
 def repeated_holdout(df: DataFrame, frac: float = 0.7, times: int = 100, seed: int = 0,

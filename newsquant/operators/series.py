@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from newsquant.functions.lookup import scan
 
 
 def by_day(key: str = "symbol", day: str = "day"):
@@ -76,26 +76,23 @@ def ema(df: DataFrame, n: int = 14, backfill: bool = True, value: str = "price",
     """Exponential mean `ema` seeded by the mean of the first n rows, and `ret_ema`.
 
     With `backfill` the first n rows take the value of row n+1. `ret_ema` is
-    the difference of the logs, 0 on the first row. The recursion runs as a
-    fold per symbol inside Arrow groups of one series each.
+    the difference of the logs, 0 on the first row. A missing value leaves the
+    mean as it is. The recursion is a fold over each symbol's days as one array.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("ema", T.DoubleType())])
-    names = schema.names
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(day)
-        x = pdf[value].astype(float)
-        seeded = x.where(pd.Series(range(len(x)), index=x.index) >= n - 1)
-        if len(x) >= n:
-            seeded.iloc[n - 1] = x.iloc[:n].mean()
-        out = seeded.iloc[n - 1:].ewm(alpha=2 / (n + 1), adjust=False).mean()
-        out = out.reindex(x.index)
-        if backfill:
-            out.iloc[:n] = out.iloc[n] if len(x) > n else float("nan")
-        return pdf.assign(ema=out)[names]
-
-    out = df.groupBy(key).applyInPandas(smooth, schema)
-    out = out.withColumn("ema", F.when(~F.isnan("ema"), F.col("ema")))
+    rest = [c for c in df.columns if c != key]
+    whole = F.sort_array(F.collect_list(F.struct(day, *[c for c in rest if c != day]))).alias("_days")
+    rows = df.groupBy(key).agg(whole).withColumn("_x", F.transform("_days", lambda d: d[value].cast("double")))
+    head = F.filter(F.slice("_x", F.lit(1), F.lit(n)), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(head, F.lit(0.0), lambda a, x: a + x), F.size(head))
+    alpha = 2 / (n + 1)
+    later = F.slice("_x", F.lit(n + 1), F.greatest(F.size("_x") - n, F.lit(0)))
+    path = scan(later, F.struct(F.col("_seed").alias("e")), lambda s, x: F.struct(F.coalesce((1 - alpha) * s["e"] + alpha * x, s["e"]).alias("e")),
+                lambda s: s["e"], "double")
+    rows = rows.withColumn("_seed", F.when(F.size("_x") >= n, mean)).withColumn("_path", path)
+    first = F.array_repeat(F.get("_path", F.lit(0)), n) if backfill else F.concat(F.array_repeat(F.lit(None).cast("double"), n - 1), F.array("_seed"))
+    means = F.slice(F.concat(first, "_path"), F.lit(1), F.size("_days"))
+    each = rows.select(key, F.explode(F.arrays_zip(F.col("_days").alias("d"), means.alias("ema"))).alias("_r"))
+    out = each.select(key, *[F.col(f"_r.d.{c}").alias(c) for c in rest], F.col("_r.ema").alias("ema")).select(*df.columns, "ema")
     w = by_day(key, day)
     step = F.ln("ema") - F.ln(F.lag("ema").over(w))
     return out.withColumn("ret_ema", F.when(F.row_number().over(w) == 1, 0.0).otherwise(step))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsquant.functions.finance import ci_to_var, kelly_fraction, lognormal_var, simple_return
-from newsquant.functions.lookup import let
+from newsquant.functions.lookup import let, scan
 
 
 def price_moments(df: DataFrame, mean: str = "mean", hi: str = "hi", lo: str = "lo") -> DataFrame:
@@ -52,10 +52,6 @@ def kelly(df: DataFrame, capital: float = 15.0, r: float | None = 0.0, method: s
     return walked.unionByName(first)
 
 
-#: Days whose wealth is appended one by one; longer paths are appended in blocks, so the copies stay short.
-BLOCK = 64
-
-
 def _fold(numbered: DataFrame, capital: float, key: list[str], price: str) -> DataFrame:
     """Wealth day by day: one array per portfolio, at most a calendar long, folded in the JVM."""
     rest = [c for c in numbered.columns if c not in (*key, "r")]
@@ -63,25 +59,18 @@ def _fold(numbered: DataFrame, capital: float, key: list[str], price: str) -> Da
     paths = numbered.groupBy(*key, "r").agg(F.sort_array(F.collect_list(day)).alias("days"))
     trades = F.transform("days", lambda d: F.struct(d["fraction"].alias("f"), d[price].cast("double").alias("p")))
     paths = paths.select(*key, "r", "days", trades.alias("trades"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("trades") - 1) / BLOCK).cast("int")),
-                         lambda i: F.slice("trades", i * BLOCK + 1, F.lit(BLOCK)))
 
-    def state(money, units, path) -> Column:
-        return F.struct(money.alias("money"), units.alias("units"), path.alias("path"))
+    def state(money, units, wealth) -> Column:
+        return F.struct(money.alias("money"), units.alias("units"), wealth.alias("wealth"))
 
-    def trade(acc, d):
+    def trade(now, d):
         def after(wealth):
             left = wealth - d["f"] * wealth
-            return state(left * F.when(left < 0, 1 + F.col("r")).otherwise(1.0), d["f"] * wealth / d["p"], F.concat(acc["path"], F.array(wealth)))
-
-        return let(acc["money"] + acc["units"] * d["p"], after)
+            return state(left * F.when(left < 0, 1 + F.col("r")).otherwise(1.0), d["f"] * wealth / d["p"], wealth)
 
-    def several(acc, block):
-        done = F.aggregate(block, state(acc["money"], acc["units"], F.array().cast("array<double>")), trade)
-        return let(done, lambda x: state(x["money"], x["units"], F.concat(acc["path"], F.array(x["path"]))))
+        return let(now["money"] + now["units"] * d["p"], after)
 
-    start = state(F.lit(float(capital)), F.lit(0.0), F.array().cast("array<array<double>>"))
-    wealth = F.aggregate(blocks, start, several, lambda acc: F.flatten(acc["path"]))
+    wealth = scan(F.col("trades"), state(F.lit(float(capital)), F.lit(0.0), F.lit(0.0)), trade, lambda s: s["wealth"], "double")
     each = paths.select(*key, "r", F.explode(F.arrays_zip(F.col("days").alias("day"), wealth.alias("wealth"))).alias("x"))
     return each.select(*key, "r", *[F.col(f"x.day.{c}").alias(c) for c in rest], F.col("x.wealth").alias("wealth")).select(
         *numbered.columns, "wealth")

@@ -236,9 +236,9 @@ def lasso_cv(spark, sf_dir):
 
 @query("word2vec")
 def word2vec(spark, sf_dir):
-    """Unit word vectors of the documents' phrase-merged tokens; words seen once or twice have no vector."""
+    """Unit word vectors of the documents' phrase-merged tokens; every word has one."""
     merged, _ = words.phrases(all_tokens(spark, sf_dir), MIN_COUNT, THRESHOLD)
-    _, vectors = words.fit_word2vec(merged, dim=100, min_count=3)
+    _, vectors = words.fit_word2vec(merged, dim=100, min_count=1)
     return vectors.select("word", vector_to_array("vector").alias("vector"))
 
 
