@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsquant.functions.hashing import key_bucket, random_key
-from newsquant.operators.nearest import once
-from newsquant.operators.ranking import ROWS_PER_BUCKET, keyed_first, keyed_rank, top_per_group
+from newsquant.operators.nearest import freeze, once
+from newsquant.operators.ranking import ROWS_PER_BUCKET, keyed_first, top_per_group
+
+#: Rows of the key range that is put in order to find a cut.
+CUT_ROWS = 2_000
 
 
 def sample_per_day(df: DataFrame, n: int, seed: int = 0, day: str = "pub_day", id_col: str = "event_id") -> DataFrame:
@@ -71,12 +74,37 @@ def bootstrap(df: DataFrame, n: int, seed: int = 0, id_col: str = "event_id") ->
     return draws.join(touched.withColumn("_pos", pos), ["_bucket", "_pos"]).select("draw", *df.columns)
 
 
-def repeated_holdout(df: DataFrame, frac: float = 0.7, times: int = 100, seed: int = 0,
-                     id_col: str = "event_id") -> DataFrame:
-    """`times` random splits: adds `draw` and `split` ('train' for the first floor(frac * N) by hash)."""
-    n = df.agg(F.count("*").alias("n")).scalar()
+def _many(df: DataFrame, times: int, seed: int, id_col: str) -> DataFrame:
+    """Every row once per draw, with `_id` and its uniform `_key` in that draw."""
     many = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     many = many.withColumn("_id", F.concat_ws(":", F.col(id_col).cast("string"), F.col("draw").cast("string")))
-    ranked = keyed_rank(many, ["draw"], "_id", seed, rank="_rank")
-    split = F.when(F.col("_rank") <= F.floor(n * F.lit(frac)), "train").otherwise("test")
-    return ranked.withColumn("split", split).drop("_rank", "_id")
+    return many.withColumn("_key", random_key("_id", seed))
+
+
+def holdout_cuts(df: DataFrame, frac: float, times: int, seed: int = 0, id_col: str = "event_id") -> DataFrame:
+    """`(draw, cut)`: key and id of each draw's last training row, one row a draw.
+
+    Keys are counted by equal ranges where the rows lie; only the one range
+    that holds a draw's cut is put in order.
+    """
+    total = df.count()
+    wanted = int(total * frac)
+    keyed = _many(df.select(id_col), times, seed, id_col)
+    keyed = keyed.withColumn("_bucket", key_bucket(F.col("_key"), F.lit(max(1, -(-total // CUT_ROWS)))))
+    upto = Window.partitionBy("draw").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)  # one row per range
+    counts = keyed.groupBy("draw", "_bucket").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    held = counts.filter((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_n") < wanted))
+    inside = keyed.join(held.select("draw", "_bucket", (F.lit(wanted) - F.col("_upto") + F.col("_n")).alias("_at")), ["draw", "_bucket"])
+    place = F.row_number().over(Window.partitionBy("draw").orderBy("_key", "_id"))
+    return inside.withColumn("_place", place).filter("_place = _at").select("draw", F.struct("_key", "_id").alias("cut"))
+
+
+def repeated_holdout(df: DataFrame, frac: float = 0.7, times: int = 100, seed: int = 0,
+                     id_col: str = "event_id") -> DataFrame:
+    """`times` random splits: adds `draw` and `split` ('train' for the first floor(frac * N) by hash).
+
+    The cut of every draw is found first, so the rows themselves are neither ranked nor moved.
+    """
+    cuts = freeze(holdout_cuts(df, frac, times, seed, id_col))
+    split = F.when(F.struct("_key", "_id") <= F.col("cut"), "train").otherwise("test")
+    return _many(df, times, seed, id_col).join(cuts, "draw", "left").withColumn("split", split).select(*df.columns, "draw", "split")
