@@ -30,8 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsquant.llm.common import read, text_of
-from newsquant.session import cut_lineage, shared_folder, ship_package
+from newsquant.llm.common import read, shared_uri, text_of
+from newsquant.session import cut_lineage, ship_package
 
 LEAST_SHARED = 1000
 #: Bytes of payload per archive, bytes of first records a dictionary is built from, and the dictionary's size.
@@ -215,10 +215,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """One row per record of the manifest's archives."""
     ship_package(manifest.sparkSession)
     types = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    return manifest.select("path").mapInArrow(_read, types)
+    paths = manifest.select("path")
+    return paths.repartition(max(1, paths.count()), "path").mapInArrow(_read, types)  # one row a file
 
 
 def warc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
-    folder = (folder if "://" in folder else f"file://{folder}") + f"/warc-{uuid.uuid4().hex}"
+    folder = f"{shared_uri(spark)}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(with_types(read(spark, sf_dir, "pages")), folder))
