@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsquant.operators import arma, lasso, metrics, series
+from newsquant.operators import arma, autoreg, grid, lasso, metrics, series
 from newsquant.plans import pipelines as pl
+from newsquant.plans.catalog.news import CLEAN_SQL
 from newsquant.plans.catalog.registry import query
 from newsquant.sources import tables
 
@@ -31,6 +32,43 @@ def _news_returns(spark, sf_dir):
     return series.lag_matrix(rows, "tone", [1], prefix="tone")
 
 
+@query("ar2_in_sample", "prices", RETURNS_SQL + f""",
+l AS (SELECT symbol, day, y, LAG(y) OVER w AS a, LAG(y, 2) OVER w AS b FROM r {W}),
+c AS (SELECT symbol, COUNT(*) AS n, AVG(y) AS my, AVG(a) AS ma, AVG(b) AS mb, VAR_POP(a) AS aa, VAR_POP(b) AS bb, COVAR_POP(a, b) AS ab,
+  COVAR_POP(y, a) AS ya, COVAR_POP(y, b) AS yb, VAR_POP(y) AS yy FROM l WHERE b IS NOT NULL GROUP BY 1),
+m AS (SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS p, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS q FROM c),
+f AS (SELECT symbol, y, my + p * (a - ma) + q * (b - mb) AS mean, 1.96 * SQRT(n * (yy - p * ya - q * yb) / (n - 3)) AS half FROM l JOIN m USING (symbol)
+  WHERE b IS NOT NULL)""", """
+SELECT symbol, COUNT(*) AS n, ROUND(AVG(ABS(y - mean)), 6) AS mae, ROUND(AVG(half), 6) AS half,
+  ROUND(AVG(CAST(y BETWEEN mean - half AND mean + half AS INT)), 6) AS coverage FROM f GROUP BY 1""")
+def ar2_in_sample(spark, sf_dir):
+    """AR(2) over the whole series, with its interval."""
+    out = autoreg.fit_ar(series.lag_matrix(_returns(spark, sf_dir), "log_ret", [1, 2]), ["lag1", "lag2"], "log_ret")
+    return out.groupBy("symbol").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("actual") - F.col("mean"))), 6).alias("mae"),
+        F.round(F.avg((F.col("hi") - F.col("lo")) / 2), 6).alias("half"),
+        F.round(F.avg(F.col("actual").between(F.col("lo"), F.col("hi")).cast("double")), 6).alias("coverage"))
+
+
+_PARTS = ("train", "valid", "test")
+
+
+@query("grid_baseline", "news prices", CLEAN_SQL + f""",
+l AS (SELECT symbol, day, price, CAST(TRUNC(1000000.0::DOUBLE * LN(price)) AS BIGINT) AS level, ROW_NUMBER() OVER w AS rn FROM prices {W}),
+d AS (SELECT *, level - LAG(level) OVER w AS y FROM l {W}),
+o AS (SELECT symbol, day, price, y, ROW_NUMBER() OVER w - 1 AS pos, COUNT(*) OVER (PARTITION BY symbol) AS n FROM d WHERE rn >= 30 {W}),
+s AS (SELECT *, CASE WHEN pos < FLOOR(n * 0.6) THEN 'train' WHEN pos < FLOOR(n * 0.8) THEN 'valid' ELSE 'test' END AS split
+  FROM o JOIN (SELECT DISTINCT pub_day AS day FROM cleaned) q USING (day)),
+m AS (SELECT symbol, REGR_SLOPE(y, price) AS b, REGR_INTERCEPT(y, price) AS a FROM s WHERE split = 'train' GROUP BY 1)""", f"""
+SELECT symbol, {pl.NEWS_K} AS k, CAST(COUNT(*) AS INT) AS num_days, {', '.join(
+    f"ROUND(1 - SUM((y - a - b * price) ** 2) FILTER (split = '{p}') / (VAR_POP(y) FILTER (split = '{p}') * COUNT(*) FILTER (split = '{p}')), 6) "
+    f"AS baseline_r2_{p}" for p in _PARTS)} FROM s JOIN m USING (symbol) GROUP BY 1""")
+def grid_baseline(spark, sf_dir):
+    """The price-only side of the grid search, with the price as its one column."""
+    table = grid.grid_search(pl.model_panel(spark, sf_dir), ["price"], "scaled_log_ret", [3])
+    return table.select("symbol", "k", "num_days", *[F.round(f"baseline_r2_{p}", 6).alias(f"baseline_r2_{p}") for p in _PARTS])
+
+
 @query("arma_refit")
 def arma_refit(spark, sf_dir):
     """ARMA forecast of every day after the first window, order chosen on that window."""
