@@ -168,6 +168,16 @@ def dpgmm_fit(spark, sf_dir):
     return table
 
 
+@query("dpgmm_events")
+def dpgmm_events(spark, sf_dir):
+    """Mixture of at most 12 components on the expanded events, and how many events fall to each."""
+    cleaned = cut_lineage(pl.cleaned_news(spark, sf_dir))
+    stats = nearest.freeze(encode.slot_stats(cleaned, pl.NEWS_LAYOUT))
+    table, _, _ = mixture.fit_dpgmm_events(cleaned, pl.NEWS_LAYOUT, stats, 12, 1.0)
+    own = mixture.assign_mixture(cleaned, pl.NEWS_LAYOUT, stats, table).groupBy("cluster_id").agg(F.count("*").alias("events"))
+    return table.join(own, "cluster_id", "left").select("cluster_id", "weight", "centroid", "n", "events")
+
+
 @query("alpha_search")
 def alpha_search(spark, sf_dir):
     return mixture.search_alpha(_standard_embeddings(spark, sf_dir), "z", 20)

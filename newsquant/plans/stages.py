@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from newsquant.operators import arma, clean, clusters, dataset, encode, grid, lasso, metrics, nearest, sample, series, summary
+from newsquant.operators import arma, clean, clusters, dataset, encode, grid, lasso, metrics, mixture, nearest, sample, series, summary
 from newsquant.session import build_session, cut_lineage
 from newsquant.sources.events import day_range, read_events, write_stage
 from newsquant.sources.prices import pivot_fields, read_prices
@@ -86,6 +86,28 @@ def train(spark: SparkSession, cleaned: str, models: str, ks: Sequence[int], per
     return scores
 
 
+def train_mixture(spark: SparkSession, cleaned: str, models: str, n_max: int, alpha: float, per_day: int = 150, seed: int = 0) -> float:
+    """Fit a Dirichlet-process mixture of at most `n_max` components on the same kind of sample; its mean log-likelihood.
+
+    Saved beside the sample's statistics; `summarise_mixture` applies it.
+    """
+    events = cut_lineage(sample.sample_per_day(spark.read.parquet(cleaned), per_day, seed))
+    lay = encode.layout()
+    stats = nearest.freeze(encode.slot_stats(events, lay))
+    model, score, _ = mixture.fit_dpgmm_events(events, lay, stats, n_max, alpha, seed=seed)
+    stats.write.mode("overwrite").parquet(f"{models}/stats")
+    model.write.mode("overwrite").parquet(f"{models}/mixture")
+    return score
+
+
+def summarise_mixture(spark: SparkSession, cleaned: str, models: str, out: str, lo: str | None = None, hi: str | None = None) -> None:
+    """Assign every event to its most probable component and write the day summaries, K being the mixture's limit."""
+    stats, model = (nearest.freeze(spark.read.parquet(f"{models}/{name}")) for name in ("stats", "mixture"))
+    events = day_range(spark.read.parquet(cleaned), lo, hi)
+    assigned = mixture.assign_mixture(events, encode.layout(), stats, model).withColumn("k", F.lit(model.count()))
+    write_stage(summary.day_summary(assigned, "k"), out, ("k", "pub_day"))
+
+
 def summarise(spark: SparkSession, cleaned: str, models: str, out: str, lo: str | None = None, hi: str | None = None) -> None:
     """Assign every event to all saved models in one pass and write the day summaries by K."""
     stats = nearest.freeze(spark.read.parquet(f"{models}/stats"))
@@ -170,6 +192,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     t.add_argument("models")
     t.add_argument("--ks", default="30,100,300")
     t.add_argument("--per-day", type=int, default=150)
+    t.add_argument("--mixture", type=int, default=0, help="fit a mixture of at most so many components instead")
+    t.add_argument("--alpha", type=float, default=1.0)
     s = stages.add_parser("summarise")
     s.add_argument("cleaned")
     s.add_argument("models")
@@ -186,6 +210,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     e.add_argument("--window", type=int, default=250)
     e.add_argument("--penalties", default="0.2,0.1,0.05")
     e.add_argument("--lasso-clusters", type=int, default=0)
+    s.add_argument("--mixture", action="store_true")
     for q in (p, s):
         q.add_argument("--lo")
         q.add_argument("--hi")
@@ -193,6 +218,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = build_session()
     if a.stage == "prepare":
         prepare(spark, a.raw, a.out, a.symbol, a.lo, a.hi, a.event_codes, a.country_codes)
+    elif a.stage == "train" and a.mixture:
+        print(train_mixture(spark, a.cleaned, a.models, a.mixture, a.alpha, a.per_day))
     elif a.stage == "train":
         train(spark, a.cleaned, a.models, [int(k) for k in a.ks.split(",")], a.per_day).show()
     elif a.stage == "stream":
@@ -203,7 +230,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         evaluate(spark, a.summaries, a.prices, a.out, components, a.window, penalties=[float(v) for v in a.penalties.split(",")],
                  lasso_clusters=a.lasso_clusters).show()
     else:
-        summarise(spark, a.cleaned, a.models, a.out, a.lo, a.hi)
+        (summarise_mixture if a.mixture else summarise)(spark, a.cleaned, a.models, a.out, a.lo, a.hi)
 
 
 if __name__ == "__main__":

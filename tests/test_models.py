@@ -106,14 +106,56 @@ def test_dp_mixture_keeps_the_planted_components(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(c, 0.2, size=(100, 2)) for c in (-3, 0, 3)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, z array<double>")
-    _, early, _ = mixture.fit_dpgmm(df, "z", 8, 1.0, 2)
-    table, late, used = mixture.fit_dpgmm(df, "z", 8, 1.0, 25)
+    _, early, _ = mixture.fit_dpgmm(df, "z", 8, 1.0, tol=1e9)
+    table, late, used = mixture.fit_dpgmm(df, "z", 8, 1.0)
     assert late > early and 3 <= used <= 8
     heavy = [r["centroid"][0] for r in table.filter("weight > 0.05").collect()]
     assert all(min(abs(h - c) for h in heavy) < 0.5 for c in (-3, 0, 3))
     assert sum(r["weight"] for r in table.collect()) == pytest.approx(1)
 
 
+def test_dp_mixture_that_is_cut_short_is_an_error(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(60)], "vec_id long, z array<double>")
+    with pytest.raises(RuntimeError):
+        mixture.fit_dpgmm(df, "z", 4, 1.0, 1, tol=1e-9)
+
+
+def test_dp_mixture_on_events_equals_the_dense_one(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    lay = encode.layout(roles=[Role("c", "categorical", 5), Role("z", "numeric"), Role("d", "categorical", 3), Role("w", "string")], names=2)
+    kind = [i % 3 for i in range(240)]
+    rows = [(f"e{i:03d}", None if i % 40 == 7 else 1 + k, float(rng.normal(4 * k, 0.3)), 1 + int(rng.integers(3)), rng.normal(0, 1, 2).tolist())
+            for i, k in enumerate(kind)]
+    df = spark.createDataFrame(rows, "event_id string, c int, z double, d int, w array<double>")
+    stats = nearest.freeze(encode.slot_stats(df, lay))
+    table, score, used = mixture.fit_dpgmm_events(df, lay, stats, 6, 1.0)
+    stat = sorted(stats.collect(), key=lambda r: r["slot"])
+    mean, std = np.array([r["mean"] for r in stat]), np.array([r["std"] for r in stat])
+
+    def dense(r):
+        x = np.zeros(lay.width)
+        for role, at in lay.topics:
+            v = r[1 + ["c", "z", "d", "w"].index(role.name)]
+            if role.kind == "categorical" and v is not None:
+                x[at + v - 1] = 1.0
+            elif role.kind != "categorical":
+                x[at:at + (role.size if role.kind == "vector" else 1)] = v
+        return ((x - mean) / std).tolist()
+
+    plain = spark.createDataFrame([(r[0], dense(r)) for r in rows], "event_id string, x array<double>")
+    want, want_score, want_used = mixture.fit_dpgmm(plain, "x", 6, 1.0, id_col="event_id")
+    assert (score, used) == (pytest.approx(want_score), want_used)
+    for a, b in zip(table.orderBy("cluster_id").collect(), want.orderBy("cluster_id").collect()):
+        assert a.n == pytest.approx(b.n, abs=1e-6) and np.allclose(a.centroid, b.centroid)
+    table.write.parquet(str(tmp_path / "m"))
+    out = {r.event_id: r.cluster_id for r in mixture.assign_mixture(df, lay, stats, spark.read.parquet(str(tmp_path / "m"))).collect()}
+    saved = table.orderBy("cluster_id").collect()
+    params = {"m": np.array([r.centroid for r in saved]), "b": np.array([r.b for r in saved]),
+              **{c: np.array([r[c] for r in saved]) for c in ("beta", "a", "log_pi")}}
+    likely = mixture._log_weights(params, np.array([dense(r) for r in rows])).argmax(axis=1)
+    assert [out[r[0]] for r in rows] == likely.tolist() and len(set(likely)) > 1
+
+
 def test_kmeans_centroids_in_standardised_slots(spark, tmp_path):
     lay = encode.Layout((Role("c", "categorical", 3), Role("z", "numeric")))
     df = spark.createDataFrame([(f"e{i}", 1 + i % 2, float(i % 2) * 10) for i in range(40)], "event_id string, c int, z double")

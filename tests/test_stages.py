@@ -30,6 +30,11 @@ def test_raw_files_to_day_summaries(spark, tmp_path):
     got = spark.read.parquet(out)
     assert {r["k"]: r["count"] for r in got.groupBy("k").count().collect()} == {2: 6, 3: 8}
     assert {r["n"] for r in got.select("n").distinct().collect()} == {30}
+    assert stages.train_mixture(spark, cleaned, models, 4, 1.0, per_day=20) > float("-inf")
+    stages.summarise_mixture(spark, cleaned, models, f"{out}-mixture")
+    mixed = spark.read.parquet(f"{out}-mixture")
+    assert mixed.count() == 2 * 5 and {(r.k, r.n) for r in mixed.collect()} == {(4, 30)}
+    assert all(abs(r.s - 1) < 1e-9 for r in mixed.filter("cluster_id >= 0").groupBy("pub_day").agg(F.sum("share").alias("s")).collect())
 
 
 def test_price_files_and_summaries_to_ranked_forecasts(spark, tmp_path):
