@@ -29,10 +29,12 @@ columns are untouched.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsquant.llm.common import read, text_of, words_of
+from newsquant.llm.common import let, read, text_of, words_of
 from newsquant.session import cut_lineage
 
 WINDOW, NEEDED = 8, 6
@@ -134,13 +136,15 @@ def _bucket(h: Column) -> Column:
 
 
 def _flagged(hashes: DataFrame, column: str):
-    """A test whether a hash may be among those of `column`."""
-    flags = bytearray(BUCKETS)
+    """A test whether a hash may be among those of `column`: one bit each in a constant of 64-bit numbers."""
+    flags = [0] * (BUCKETS // 64)
     for (b,) in hashes.select(_bucket(F.col(column)).alias("b")).distinct().collect():  # at most BUCKETS numbers
-        flags[b] = 1
+        flags[b >> 6] |= 1 << (b & 63)
+    signed = [f - (1 << 64) if f >> 63 else f for f in flags]
+    constant = F.from_json(F.lit(json.dumps(signed, separators=(",", ":"))), "array<bigint>")
 
     def maybe(h: Column) -> Column:
-        return F.substring(F.lit(bytes(flags)), _bucket(h) + 1, 1) == F.lit(b"\x01")
+        return let(_bucket(h), lambda b: F.getbit(F.get(constant, F.shiftright(b, 6)), b.bitwiseAND(63)) == 1)
 
     return maybe
 
