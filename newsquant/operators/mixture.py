@@ -214,9 +214,11 @@ EVENT_MODEL = "cluster_id int, weight double, centroid array<double>, n double,
 
 
 def fit_dpgmm_events(df: DataFrame, lay: Layout, stats: DataFrame, n_max: int, alpha: float, max_iter: int | None = None, seed: int = 0,
-                     id_col: str = "event_id", tol: float = 1e-4) -> tuple[DataFrame, float, int]:
+                     id_col: str = "event_id", tol: float = 1e-3) -> tuple[DataFrame, float, int]:
     """`fit_dpgmm` on cleaned events in the standardised slots of `lay`, without building the vectors.
 
+    The log-likelihood of an event sums over all slots, hence the wider `tol`.
+
     A task sums, per component, the responsibilities of every active code and
     the moments of the numbers; what an absent code adds follows from the totals.
     The table also holds what `assign_mixture` needs.

@@ -128,7 +128,7 @@ def test_dp_mixture_on_events_equals_the_dense_one(spark, tmp_path):
             for i, k in enumerate(kind)]
     df = spark.createDataFrame(rows, "event_id string, c int, z double, d int, w array<double>")
     stats = nearest.freeze(encode.slot_stats(df, lay))
-    table, score, used = mixture.fit_dpgmm_events(df, lay, stats, 6, 1.0)
+    table, score, used = mixture.fit_dpgmm_events(df, lay, stats, 6, 1.0, tol=1e-4)
     stat = sorted(stats.collect(), key=lambda r: r["slot"])
     mean, std = np.array([r["mean"] for r in stat]), np.array([r["std"] for r in stat])
 
