@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsquant.functions import events as fn
@@ -34,11 +34,12 @@ def impact_cells(df: DataFrame, countries: Sequence[str], kind: str = "h3", type
     """Long form `(day, name, impact)` summed per day and column name.
 
     The impact is linear in 1 / day average, so scaled sums are aggregated
-    first and divided by the day average afterwards: the day means need no
-    join back to the events and no day window.
+    first and divided by the day average afterwards. An event's articles are
+    one more cell, without a name, so the day's mean comes from the same pass
+    over the events; only the sums are windowed by day. Rows without a day are
+    left out.
     """
-    own = countries_filter(df, countries)
-    means = day_averages(own, day, ["num_articles"]).select(day, F.col("avg_num_articles").alias("mean"))
+    own = countries_filter(df.filter(F.col(day).isNotNull()), countries)
     h = fn.impact(kind, F.col("num_articles"), "goldstein", "avg_tone", "quad_class")
 
     def side(country: str, types: Sequence[str]):
@@ -48,10 +49,13 @@ def impact_cells(df: DataFrame, countries: Sequence[str], kind: str = "h3", type
             F.col(country).alias("country"), t.alias("code"), value.cast("double").alias("value")))
         return F.when(F.col(country).isin(*countries), rows).otherwise(F.filter(rows, lambda r: F.lit(False)))
 
-    cells = own.select(day, F.explode(F.concat(side("actor1_country", types1), side("actor2_country", types2))).alias("c"))
-    name = fn.impact_column_name("c.country", "c.code", "c.value")
-    sums = cells.groupBy(day, name.alias("name")).agg(F.sum("c.value").alias("value"))
-    return sums.join(means, day).select(day, "name", F.try_divide("value", "mean").alias("impact"))
+    none = F.lit(None).cast("string")
+    articles = F.array(F.struct(none.alias("country"), none.alias("code"), F.col("num_articles").cast("double").alias("value")))
+    cells = own.select(day, F.explode(F.concat(side("actor1_country", types1), side("actor2_country", types2), articles)).alias("c"))
+    name = F.when(F.col("c.country").isNotNull(), fn.impact_column_name("c.country", "c.code", "c.value"))
+    sums = cells.groupBy(day, name.alias("name")).agg(F.sum("c.value").alias("value"), F.count("c.value").alias("n"))
+    mean = F.max(F.when(F.col("name").isNull(), F.try_divide("value", "n"))).over(Window.partitionBy(day))  # a row per name and day
+    return sums.withColumn("mean", mean).filter(F.col("name").isNotNull()).select(day, "name", F.try_divide("value", "mean").alias("impact"))
 
 
 def impact_pivot(df: DataFrame, countries: Sequence[str], names: Sequence[str], kind: str = "h3",

@@ -63,6 +63,7 @@ def named_events(spark, sf_dir):
     raw = tables.news(spark, sf_dir, "event_id", "order_no", "quad_class", "goldstein", "actor1_name", "actor2_type1").select(
         "event_id", "order_no", "quad_class", "goldstein", F.regexp_extract("actor1_name", "^ The (.*) of ", 1).alias("raw1"),
         F.lower("actor2_type1").alias("raw2"))
+    raw = cut_lineage(raw)  # read four times below, for the distinct names and for the rows
     named = words.name_vectors(raw, "raw1", vectors, [accepted], DIM, "name1")
     return words.name_vectors(named, "raw2", vectors, [accepted], DIM, "name2")
 
