@@ -44,8 +44,7 @@ def stream_late_rows(spark, sf_dir):
     """Two days' worth of files: those of every fifth order arrive after the others, when most of their days are closed."""
     cleaned, models, out = _cleaned(spark, sf_dir)
     last = F.max("pub_day")
-    newest = cleaned.filter("order_no % 5 <> 0").agg(last).first()[0]
-    whole = cleaned.agg(last).first()[0]
+    newest, whole = cleaned.agg(F.max(F.when(F.col("order_no") % 5 != 0, F.col("pub_day"))), last).first()
     folder = f"{out}/in"
     for late in (False, True):
         part = cleaned.filter(F.col("order_no") % 5 == 0 if late else F.col("order_no") % 5 != 0)

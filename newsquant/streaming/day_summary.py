@@ -94,7 +94,9 @@ def summarise_stream(events: DataFrame, models: Callable[[], dict[int, tuple[Dat
 
     def batch(df: DataFrame, number: int) -> None:
         closed = closed_day(df.sparkSession, out, delay_days, number)
-        rows = clean(df).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = clean(df)
+        if closed is not None:  # otherwise no row is late and they are read once
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         late = F.lit(False) if closed is None else F.col(day) < F.lit(closed)
         assigned = assign_models(rows.filter(~late), lay, load())
         sums = [F.sum(F.col(m).cast("double")).alias(m) for m in measures]
@@ -102,7 +104,8 @@ def summarise_stream(events: DataFrame, models: Callable[[], dict[int, tuple[Dat
         cells.write.mode("overwrite").parquet(f"{out}/cells/batch={number}")
         missed = rows.filter(late).groupBy(F.col(day).alias("day")).agg(F.count("*").alias("rows"))
         missed.write.mode("overwrite").parquet(f"{out}/late/batch={number}")
-        rows.unpersist()
+        if closed is not None:
+            rows.unpersist()
 
     return events.writeStream.foreachBatch(batch)
 
