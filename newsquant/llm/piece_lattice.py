@@ -1,23 +1,27 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts fall into units that no piece crosses: blanks followed by a word, and
-line ends. For each distinct unit all substrings up to the longest piece are
-exploded and equi-joined to the piece table; the matches are the edges of the
-unit's lattice, grouped by unit and folded with a higher-order aggregate.
+line ends. For each unit all substrings up to the longest piece are joined to
+the piece table; the matches are the edges of the unit's lattice, which is
+folded to a path.
 
-* Unigram models: Viterbi, the path of the best score sum.
+* Unigram models: substrings are rows, edges are grouped by unit and folded
+  with a higher-order aggregate. Viterbi, the path of the best score sum.
 * BPE models define their result by merge order, and the best path is another
-  one. So their fold keeps a bit mask of borders and takes in every round the
-  edge that joins two present pieces with the best score, leftmost on ties.
-  A single character without piece is an edge to its byte pieces.
+  one. So their fold keeps the present pieces and takes in every round the
+  edge that joins two of them with the best score, leftmost on ties. A single
+  character without piece is an edge to its byte pieces. Here the substrings
+  are joined to the piece table inside the row, for a batch of units at once
+  and with every match compared by its characters: as rows of their own the
+  some fifty substrings of a unit cost several times as much.
 
-Units beyond `LONG` characters, too long for the bit mask, are merged with a
-heap in Python, with the same result.
+Units beyond `LONG` characters are merged with a heap in Python, with the same
+result.
 
 Applying the encodings moves no text. Units of the highest counts, at most
 `HOT`, are one file of bounded size that every worker reads from the shared
-folder. What a scan task meets beyond them is joined to its encoding by unit
-and written back under the task's number, so that the same task of the next
+folder. What a scan task meets beyond them is dealt by unit, encoded once per
+batch and written back under the task's number, so that the same task of the next
 scan finds it. Should a task find other rows than before (an input that is no
 stored table), what is missing is merged in place, with the same result.
 
@@ -32,8 +36,9 @@ import heapq
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +49,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsquant.llm.common import let, read, text_of
+from newsquant.llm.common import read, text_of
 from newsquant.session import cut_lineage, discard, shared_folder, ship_package
 
 BLANK_SIGN = "▁"
 #: A line end, blanks with a word, or blanks alone.
 UNIT = re.compile("\n| *[^ \n]+| +")
+#: A rare character, to cut texts without runs of blanks by.
+MARK = "\x1f"
 #: Longest unit for the mask fold, units in the shared file, units a counting task holds before it hands them on.
 LONG, HOT, HELD = 60, 1 << 19, 300_000
+#: Factor of the substring keys, units whose lattices are in memory at once, the rank of no edge.
+_STEP, _AT_ONCE, _NONE = np.uint64(0x9E3779B97F4A7C15), 2048, np.iinfo(np.int32).max
 #: Piece types of the model format (fixed values).
 NORMAL, BYTE = 1, 6
 
@@ -92,7 +101,12 @@ def partitions(spark: SparkSession) -> int:
 
 def units(text: str) -> list[str]:
     """The units of a text and of the blank the model puts before it."""
-    return UNIT.findall(" " + text.replace(BLANK_SIGN, " ")) if text else []
+    if not text:
+        return []
+    marked = " " + text.replace(BLANK_SIGN, " ")
+    if "  " in marked or MARK in marked:
+        return UNIT.findall(marked)
+    return list(filter(None, marked.replace(" ", f"{MARK} ").replace("\n", f"{MARK}\n{MARK}").split(MARK)))
 
 
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -115,37 +129,131 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     return found.select("unit", "a", (F.col("a") + F.col("n")).alias("c"), F.coalesce("score", F.lit(-1e12)).alias("score"), ids.alias("ids"))
 
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))
+class Lattice:
+    """The piece table as sorted arrays by length, for the lattices of many units at once."""
+
+    def __init__(self, rows: list[tuple[str, int, float]], first_byte: int):
+        self.first_byte = first_byte
+        rank = np.unique([-s for _, _, s in rows], return_inverse=True)[1].reshape(-1)
+        by_length: dict[int, list[int]] = {}
+        for i, (piece, _, _) in enumerate(rows):
+            by_length.setdefault(len(piece), []).append(i)
+        self.by_length = []
+        for n, of in sorted(by_length.items()):
+            codes = np.array([[ord(c) for c in rows[i][0]] for i in of], np.uint32)
+            key = np.zeros(len(of), np.uint64)
+            for j in range(n):
+                key = key * _STEP + codes[:, j]
+            order = np.argsort(key, kind="stable")
+            self.by_length.append((n, key[order], codes[order], np.array([rows[i][1] for i in of], np.int32)[order],
+                                   rank[of].astype(np.int32)[order]))
+        self.longest = max(by_length)
+
+    def edges(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece id and merge rank by unit, first position and length: all substrings joined to the table."""
+        m, width = codes.shape
+        most = min(self.longest, width)
+        ids = np.full((m, width, most + 1), -1, np.int32)
+        ranks = np.full((m, width, most + 1), _NONE, np.int32)
+        key, n = np.zeros((m, width), np.uint64), 0
+        for length, keys, spelled, piece, rank in self.by_length:
+            if length > most:
+                break
+            while n < length:
+                key = key[:, :width - n] * _STEP + codes[:, n:]
+                n += 1
+            near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            row, a = np.nonzero((keys[near] == key) & (np.arange(width - n + 1) <= size[:, None] - n))
+            # equal keys name a run of pieces, compared by their characters
+            at, open_ = near[row, a], np.ones(len(row), bool)
+            while open_.any():
+                r, f, t = row[open_], a[open_], at[open_]
+                same = (codes[r[:, None], f[:, None] + np.arange(n)] == spelled[t]).all(1)
+                ids[r[same], f[same], n], ranks[r[same], f[same], n] = piece[t[same]], rank[t[same]]
+                left = np.flatnonzero(open_)[~same]
+                at[left] += 1
+                open_[:] = False
+                left = left[at[left] < len(keys)]
+                open_[left] = keys[at[left]] == key[row[left], a[left]]
+        return ids, ranks
+
+    def fold(self, ranks: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Length of the piece that starts at each position, 0 for none, when no edge joins two pieces any more."""
+        m, width, most = ranks.shape
+        place = np.arange(width)
+        length = (place < size[:, None]).astype(np.int64)
+        rows = np.flatnonzero(size > 1)
+        while len(rows):
+            own = length[rows]
+            after = place + own
+            joined = own + np.take_along_axis(np.pad(own, ((0, 0), (0, 1))), after, 1)
+            can = (own > 0) & (joined > own) & (joined < most)
+            rank = np.where(can, ranks[rows[:, None], place, np.where(can, joined, 0)], _NONE)
+            best = rank.argmin(1)  # the leftmost of equal ones
+            line = np.arange(len(rows))
+            met = rank[line, best] != _NONE
+            rows, best, line = rows[met], best[met], line[met]
+            length[rows, after[line, best]] = 0
+            length[rows, best] = joined[line, best]
+        return length
+
+    def encode(self, some: list[str]) -> list[list[int]]:
+        """Ids of units of at most `LONG` characters."""
+        out: list[list[int]] = [[]] * len(some)
+        order = sorted(range(len(some)), key=lambda i: len(some[i]))
+        for lo in range(0, len(order), _AT_ONCE):
+            of = order[lo:lo + _AT_ONCE]
+            size = np.array([len(some[i]) for i in of])
+            width = max(int(size[-1]), 1)
+            codes = np.frombuffer("".join(some[i].ljust(width, "\0") for i in of).encode("utf-32-le"), np.uint32).reshape(-1, width)
+            ids, ranks = self.edges(codes, size)
+            length = self.fold(ranks, size)
+            row, a = np.nonzero(length)
+            found = ids[row, a, length[row, a]].tolist()
+            ends = np.cumsum(np.bincount(row, minlength=len(of))).tolist()
+            for k, i in enumerate(of):
+                got = found[ends[k - 1] if k else 0:ends[k]]
+                if -1 in got:  # characters without piece, one position each
+                    starts = a[ends[k - 1] if k else 0:ends[k]].tolist()
+                    got = [x for g, at in zip(got, starts, strict=True)
+                           for x in ([g] if g >= 0 else [self.first_byte + b for b in some[i][at].encode()])]
+                out[i] = got
+        return out
 
 
-def _folded(edges_: Column, every: Column, rounds: Column) -> Column:
-    """The mask of borders that is left after all rounds."""
+@lru_cache(maxsize=1)
+def _lattice_of(shared: _Rules) -> Lattice:
+    """Built once per worker."""
+    return Lattice(shared.broadcast.value, shared.first_byte)
 
-    def join(mask: Column, _) -> Column:
-        best = F.get(F.filter(edges_, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"])
-                              & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)), F.lit(0))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(best["inner"])), mask)
 
-    return F.aggregate(F.sequence(F.lit(1), rounds), every, join)
+class _Rules:
+    """A broadcast piece table with a name, so that a worker builds its lattice table once."""
 
+    def __init__(self, spark: SparkSession, pieces: Pieces):
+        self.name, self.first_byte = uuid.uuid4().hex, pieces.first_byte
+        self.broadcast = spark.sparkContext.broadcast(pieces.rows)
 
-def merged(lattice: DataFrame) -> DataFrame:
-    """(unit, ids) by merge order. `inner` has the borders an edge removes, `ends` those it needs."""
-    inner = _bit(F.col("c")) - _bit(F.col("a") + 1)
-    edge = F.struct((-F.col("score")).alias("cost"), "a", inner.alias("inner"), _bit(F.col("a")).bitwiseOR(_bit(F.col("c"))).alias("ends"), "ids")
-    grouped = lattice.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    size = F.length("unit")
-    every = _bit(size + 1) - 1
+    def __hash__(self):
+        return hash(self.name)
+
+    def __eq__(self, other):
+        return self.name == other.name
+
+
+def merged(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """Adds `ids`, by merge order, to rows with a `unit`; neighbouring rows of one unit share its lattice."""
+    rules = _Rules(words.sparkSession, pieces)
+    at = words.columns.index("unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            coded = b.column(at).dictionary_encode()
+            ids = pa.array(_lattice_of(rules).encode(coded.dictionary.to_pylist()), pa.list_(pa.int32())).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
 
-    # an edge of one character joins nothing; no more rounds are needed than there are borders or other edges
-    joins = F.filter("edges", lambda e: e["inner"] != 0)
-    rounds = F.least(F.size(joins), size - 1)
-    mask = F.when(rounds > 0, let(joins, lambda es: _folded(es, every, rounds))).otherwise(every)
-    folded = grouped.select("unit", "edges", mask.alias("mask"))
-    path = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
-    ordered = F.sort_array(F.transform(path, lambda e: F.struct(e["a"], e["ids"])))
-    return folded.select("unit", F.flatten(F.transform(ordered, lambda e: e["ids"])).alias("ids"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
+    return words.mapInArrow(run, f"{fields}, ids array<int>")
 
 
 def viterbi(lattice: DataFrame) -> DataFrame:
@@ -207,7 +315,15 @@ def encode_short(words: DataFrame, pieces: Pieces) -> DataFrame:
     partitions merged by the size of the units would be too large.
     """
     dealt = words.repartition(partitions(words.sparkSession), "unit")
-    return merged(edges(dealt, pieces)) if pieces.bpe else viterbi(edges(dealt, pieces))
+    return merged(dealt, pieces) if pieces.bpe else viterbi(edges(dealt, pieces))
+
+
+def encode_met(met: DataFrame, pieces: Pieces) -> DataFrame:
+    """(part, unit, ids) for the units that tasks met; a unit may come from several."""
+    dealt = met.repartition(partitions(met.sparkSession), "unit")
+    if pieces.bpe:
+        return merged(dealt.sortWithinPartitions("unit"), pieces)
+    return dealt.join(encode_short(met.select("unit").distinct(), pieces), "unit").select("part", "unit", "ids")
 
 
 def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -256,10 +372,24 @@ def hot_units(texts: DataFrame, hot: int = HOT) -> DataFrame:
     return counts.filter(F.col("n") >= least).select("unit")
 
 
-def _read_units(path: str) -> dict[str, bytes]:
+class _Known(dict):
+    """Encodings of the hot units as 32-bit numbers; others come from the task's `rest`, what is in neither is merged here."""
+
+    rest: dict[str, bytes]
+    merge: Callable[[str], bytes]
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.rest.get(unit)
+        if found is None:
+            found = self.merge(unit)
+            if len(self.rest) < 2 * HELD:
+                self.rest[unit] = found
+        return found
+
+
+def _read_units(path: str, out: dict[str, bytes]) -> dict[str, bytes]:
     """Encodings by unit, as 32-bit numbers, of a folder of the shared file system; none if it is not there."""
     fs, name = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    out: dict[str, bytes] = {}
     for f in fs.get_file_info(pyarrow.fs.FileSelector(name, allow_not_found=True)):
         if f.path.endswith(".parquet"):
             with fs.open_input_file(f.path) as file:
@@ -272,13 +402,13 @@ def _read_units(path: str) -> dict[str, bytes]:
 
 
 @lru_cache(maxsize=1)
-def _hot_table(path: str) -> dict[str, bytes]:
+def _hot_table(path: str) -> _Known:
     """The hot units, read once per worker."""
-    return _read_units(path)
+    return _read_units(path, _Known())
 
 
 def _rest_table(folder: str, part: int) -> dict[str, bytes]:
-    return _read_units(f"{folder}/part={part}")
+    return _read_units(f"{folder}/part={part}", {})
 
 
 def _rest_units(table: str, longest: int):
@@ -290,8 +420,8 @@ def _rest_units(table: str, longest: int):
         for b in batches:
             new: set[str] = set()
             for text in b.column(0).to_pylist():
-                new.update(units(text))
-            rest = [u for u in new if u not in hot and u not in given and len(u) <= longest]
+                new.update(filterfalse(hot.__contains__, units(text)))
+            rest = [u for u in new if u not in given and len(u) <= longest]
             given = given if len(given) < 2 * HELD else set()
             given.update(rest)
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(rest), pa.int32()), pa.array(rest, pa.string())], ["part", "unit"])
@@ -299,37 +429,33 @@ def _rest_units(table: str, longest: int):
     return run
 
 
-class _Known(dict):
-    """Encodings as 32-bit numbers; what is in none of the tables is merged here."""
-
-    def __init__(self, hot: dict[str, bytes], rest: dict[str, bytes], merge):
-        super().__init__(rest)
-        self.hot, self.merge = hot, merge
-
-    def __missing__(self, unit: str) -> bytes:
-        found = self.hot.get(unit)
-        if found is None:
-            found = self.merge(unit)
-            if len(self) < HELD:
-                self[unit] = found
-        return found
+def _same(texts: list[str], offsets: np.ndarray, ids: pa.Array, as_bytes: pa.Array) -> list[bool]:
+    """Whether the pieces of each text decode to it: all are decoded in one pass."""
+    decoded = as_bytes.take(ids)
+    ends = np.frombuffer(decoded.buffers()[1], np.int64)[decoded.offset:decoded.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    spelled = memoryview(decoded.buffers()[2] or b"")
+    same = []
+    for text, lo, hi in zip(texts, ends[offsets[:-1]].tolist(), ends[offsets[1:]].tolist(), strict=True):
+        same.append(bytes(spelled[lo + 1:hi]).decode(errors="replace") == text.replace(BLANK_SIGN, " "))
+    return same
 
 
 def _encode(table: str, rest: str, pieces):
     """Ids of the texts, and whether they decode to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, own, rules = _hot_table(table), _rest_table(rest, TaskContext.get().partitionId()), pieces.value
-        known = _Known(hot, own, lambda u: np.array(heap_merge(u, rules["table"], rules["first_byte"]), np.int32).tobytes())
+        known, rules = _hot_table(table), pieces.value
+        known.rest = _rest_table(rest, TaskContext.get().partitionId())
+        known.merge = lambda u: np.array(heap_merge(u, rules["table"], rules["first_byte"]), np.int32).tobytes()
+        as_bytes = pa.array(rules["as_bytes"], pa.large_binary())
         for b in batches:
-            coded, same = [], []
-            for text in b.column(1).to_pylist():
-                ids = b"".join(map(known.__getitem__, units(text)))
-                coded.append(ids)
-                same.append(decode_ids(np.frombuffer(ids, np.int32).tolist(), rules["as_bytes"]) == text.replace(BLANK_SIGN, " "))
+            texts = b.column(1).to_pylist()
+            coded = [b"".join(map(known.__getitem__, units(text))) for text in texts]
             offsets = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(same, pa.bool_())], ["id", "ids", "round_trip"])
+            values = pa.array(np.frombuffer(b"".join(coded), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), values)
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(_same(texts, offsets, values, as_bytes), pa.bool_())],
+                                             ["id", "ids", "round_trip"])
 
     return run
 
@@ -345,12 +471,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         raise RuntimeError("the table of hot units was not written")
     table = files[0].rsplit("/", 1)[0]
     longest = LONG if pieces.bpe else 1 << 30  # longer ones are merged where they stand
-    # landed, as both sides of the join read it and the scan would run for each
-    met = cut_lineage(rows.select("text").mapInArrow(_rest_units(table, longest), "part int, unit string"))
-    rest = met.repartition(partitions(spark), "unit")
-    known = encode_short(met.select("unit").distinct(), pieces)
+    met = rows.select("text").mapInArrow(_rest_units(table, longest), "part int, unit string")
+    if not pieces.bpe:  # both sides of a join read it
+        met = cut_lineage(met)
     folder = f"{shared_folder(spark)}/units-{uuid.uuid4().hex}"
-    rest.join(known, "unit").repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(folder)
+    encode_met(met, pieces).repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(folder)
     discard(met)
     shared = spark.sparkContext.broadcast(
         {"table": {p: (i, s) for p, i, s in pieces.rows}, "first_byte": pieces.first_byte, "as_bytes": pieces.as_bytes})

@@ -1,5 +1,7 @@
 import itertools
+import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -119,3 +121,30 @@ def test_viterbi_equals_brute_force(spark):
     for r in pl.encode_units(frame, Table()).collect():
         assert "".join(text[i] for i in r.ids) == r.unit
         assert abs(sum(score[i] for i in r.ids) - best(r.unit)) < 1e-9
+
+
+def test_lattices_at_once_equal_heap(pieces):
+    rng = random.Random(3)
+    parts = [p for p, _, _ in pieces.rows if " " not in p] + ["漢", "\x00", "😀", "é"]
+    some = ["".join(rng.choices(parts, k=rng.randint(1, 9)))[:pl.LONG] for _ in range(5000)] + [u for t in STRANGE for u in pl.units(t) if len(u) <= pl.LONG] + [""]
+    table = {p: (i, s) for p, i, s in pieces.rows}
+    got = pl.Lattice(pieces.rows, pieces.first_byte).encode(some)
+    assert got == [pl.heap_merge(u, table, pieces.first_byte) for u in some]
+
+
+def test_pieces_of_equal_keys_and_scores(monkeypatch):
+    rows = [("a", 0, -9.0), ("b", 1, -9.0), ("ab", 2, -1.0), ("ba", 3, -1.0), ("aba", 4, -2.0), ("bab", 5, -2.0)]
+    some = ["".join(x) for n in range(1, 8) for x in itertools.product("ab", repeat=n)]
+    table = {p: (i, s) for p, i, s in rows}
+    want = [pl.heap_merge(u, table, 100) for u in some]
+    assert pl.Lattice(rows, 100).encode(some) == want
+    monkeypatch.setattr(pl, "_STEP", np.uint64(1))  # "ab" and "ba" get one key
+    assert pl.Lattice(rows, 100).encode(some) == want
+
+
+def test_units_are_not_exploded_into_rows(spark, pieces):
+    """The substrings of a unit are joined inside its row: 500 long units stay 500 rows in every step of the plan."""
+    words = spark.createDataFrame([(f"{i:060d}",) for i in range(500)], "unit string")
+    coded = pl.encode_short(words, pieces)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and coded.count() == 500
