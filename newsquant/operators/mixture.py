@@ -187,10 +187,10 @@ def _event_sums(df: DataFrame, lay: Layout, slots: _Slots, params: dict):
             total = r.sum(axis=1, keepdims=True)
             ll += float((top + np.log(total)).sum())
             r /= total
-            at = 0
+            at, columns = 0, np.ascontiguousarray(r.T)
             for j, block in enumerate(s.blocks):
-                some = codes[:, j] > 0
-                np.add.at(hits.T, at + codes[some, j] - 1, r[some])
+                for c, own in enumerate(columns):
+                    hits[c, at:at + len(block)] += np.bincount(codes[:, j], own, len(block) + 1)[1:]  # code 0 is none
                 at += len(block)
             n, s1, s2, rows = n + r.sum(axis=0), s1 + r.T @ x, s2 + r.T @ (x * x), rows + len(x)
         if rows:
